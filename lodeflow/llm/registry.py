@@ -7,11 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lodeflow.functions.tables import table
-from lodeflow.llm import minhash
+from lodeflow.llm import fertility, minhash
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def op3_fertility_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality rules of every document."""
+    return fertility.judged(table(spark, sf_dir, "documents"))
+
+
 def op6_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate classes of the documents: shingles of three words, a similarity of 0.85."""
     out = minhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85, bands=24, rows=6)
@@ -34,6 +39,7 @@ SELECT doc_id, len(s)::BIGINT AS n_shingles, component_id, doc_id = component_id
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_fertility_rules": op3_fertility_rules,
     "op6_circulant_minhash": op6_circulant_minhash,
 }
 
