@@ -7,11 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lodeflow.functions.tables import table
-from lodeflow.llm import automaton, chat, fertility, minhash
+from lodeflow.llm import automaton, chat, fertility, minhash, mixing
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def op1_cube_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words the mix takes of each document: weights 5, 2, 1 by source, 150 % of all words, twice a document at most."""
+    return mixing.mixed(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op3_fertility_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality rules of every document."""
     return fertility.judged(table(spark, sf_dir, "documents"))
@@ -84,6 +89,7 @@ FROM e GROUP BY conv_id
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_cube_mixture": op1_cube_mixture,
     "op3_fertility_rules": op3_fertility_rules,
     "op6_circulant_minhash": op6_circulant_minhash,
     "op7_schema_fingerprint": op7_schema_fingerprint,
