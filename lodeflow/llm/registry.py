@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lodeflow.functions.tables import table
-from lodeflow.llm import automaton, chat, fertility, minhash, mixing
+from lodeflow.llm import automaton, chat, fertility, minhash, mixing, pii
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -44,6 +44,11 @@ SELECT doc_id, len(s)::BIGINT AS n_shingles, component_id, doc_id = component_id
 """
 
 
+def op8_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document."""
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
 def op9_suffix_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark passages in the documents: windows of 13 words, contaminated from 5 % of the words on."""
     return automaton.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=13, percent=5)
@@ -93,6 +98,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_fertility_rules": op3_fertility_rules,
     "op6_circulant_minhash": op6_circulant_minhash,
     "op7_schema_fingerprint": op7_schema_fingerprint,
+    "op8_contextual_pii": op8_contextual_pii,
     "op9_suffix_automaton": op9_suffix_automaton,
 }
 
