@@ -41,14 +41,28 @@ def _q(pattern: str) -> str:
     return "r'" + pattern + "'"
 
 
-def _placed(text: str, pattern: str, keep: str, kind: int) -> str:
-    """SQL for the spans of a pattern's matches ``z.m`` that pass ``keep``."""
+def _running(text: str, pattern: str, keep: str, item: str, kind: str) -> str:
+    """SQL for ``item`` (of the type ``kind``) of each match that passes ``keep``.
+
+    They see the match ``z.m``, the piece before it ``z.p``, the end of the match before ``z.l`` and the match's place ``a.at +
+    length(z.p)``. Matches are taken in parts of 256, so that a text of many matches costs no square of their number.
+    """
+    cell, width = "struct<m:string,p:string,l:string>", 256
     return f"""transform(array(named_struct('m', regexp_extract_all({text}, {_q(pattern)}, 0), 'p', split({text}, {_q(pattern)}, -1))), b ->
-      aggregate(zip_with(b.m, slice(b.p, 1, size(b.m)), (m, p) -> named_struct('m', m, 'p', p)),
-        named_struct('at', 0, 'found', cast(array() as array<{SPAN}>)),
-        (a, z) -> named_struct('at', a.at + length(z.p) + length(z.m), 'found', if({keep},
-          concat(a.found, array(named_struct('start', a.at + length(z.p), 'end', a.at + length(z.p) + length(z.m), 'kind', {kind}, 'value', z.m))), a.found)),
-        a -> a.found))[0]"""
+      transform(array(transform(b.m, (m, i) -> named_struct('m', m, 'p', b.p[i], 'l', if(i = 0, '', right(b.m[i - 1], 80))))), zs ->
+        flatten(transform(
+          aggregate(transform(sequence(0, greatest(size(zs) - 1, 0), {width}), i -> slice(zs, i + 1, {width})),
+            named_struct('at', 0, 'x', cast(array() as array<struct<at:int,part:array<{cell}>>>)),
+            (a, part) -> named_struct('at', a.at + aggregate(part, 0, (n, z) -> n + length(z.p) + length(z.m)), 'x', concat(a.x, array(named_struct('at', a.at, 'part', part)))),
+            a -> a.x),
+          q -> aggregate(q.part, named_struct('at', q.at, 'found', cast(array() as array<{kind}>)),
+            (a, z) -> named_struct('at', a.at + length(z.p) + length(z.m), 'found', if({keep}, concat(a.found, array({item})), a.found)),
+            a -> a.found))))[0])[0]"""
+
+
+def _placed(text: str, pattern: str, keep: str, kind: int) -> str:
+    """SQL for the spans of a pattern's matches that pass ``keep``."""
+    return _running(text, pattern, keep, f"named_struct('start', a.at + length(z.p), 'end', a.at + length(z.p) + length(z.m), 'kind', {kind}, 'value', z.m)", SPAN)
 
 
 _DIGITS = "length(regexp_replace(z.m, '[^0-9]', ''))"
@@ -72,12 +86,7 @@ def base_spans(text: str) -> Column:
 
 def tokens(text: str, spans: str) -> Column:
     """array<struct<start,end,left,shape,value,kind>> of the tokens with a digit; kind is that of a base span they meet, else null."""
-    found = f"""transform(array(named_struct('m', regexp_extract_all({text}, {_q(TOKEN)}, 0), 'p', split({text}, {_q(TOKEN)}, -1))), b ->
-      aggregate(zip_with(b.m, slice(b.p, 1, size(b.m)), (m, p) -> named_struct('m', m, 'p', p)),
-        named_struct('at', 0, 'left', '', 'found', cast(array() as array<struct<start:int,left:string,value:string>>)),
-        (a, z) -> named_struct('at', a.at + length(z.p) + length(z.m), 'left', right(z.m, 80),
-          'found', concat(a.found, array(named_struct('start', a.at + length(z.p), 'left', concat(a.left, right(z.p, 80)), 'value', rtrim('._%+/=-', z.m))))),
-        a -> a.found))[0]"""
+    found = _running(text, TOKEN, "true", "named_struct('start', a.at + length(z.p), 'left', concat(z.l, right(z.p, 80)), 'value', rtrim('._%+/=-', z.m))", "struct<start:int,left:string,value:string>")
     left = r"regexp_replace(lower(element_at(split(rtrim(right(x.left, 80)), r'\s+'), -1)), '[0-9]+', '0')"
     shape = r"regexp_replace(regexp_replace(x.value, '[0-9]+', '0'), r'\p{L}+', 'a')"
     kind = f"if(exists({spans}, s -> s.start < x.start + length(x.value) and s.end > x.start), filter({spans}, s -> s.start < x.start + length(x.value) and s.end > x.start)[0].kind, null)"
