@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lodeflow.functions.tables import table
-from lodeflow.llm import automaton, chat, fertility, minhash, mixing, pii
+from lodeflow.llm import automaton, chat, crf, fertility, labeller, minhash, mixing, pii, unigram, warc
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -17,6 +17,23 @@ def op1_cube_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quality score of every document; labels of documents that aren't held out fit the model."""
+    docs = table(spark, sf_dir, "documents")
+    return crf.scored(docs, crf.trained(docs, table(spark, sf_dir, "labels")))
+
+
+def op4_sharded_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written as archives into the shared folder, and read back."""
+    out = warc.new_folder(spark)
+    return warc.read(warc.write(table(spark, sf_dir, "pages"), out), out).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op5_trie_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document."""
+    return unigram.token_counts(table(spark, sf_dir, "documents"))
+
+
 def op3_fertility_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality rules of every document."""
     return fertility.judged(table(spark, sf_dir, "documents"))
@@ -93,13 +110,23 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM e GROUP BY conv_id
 """
 
+
+def op10_block_labeller(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return labeller.extracted(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_cube_mixture": op1_cube_mixture,
+    "op2_line_crf": op2_line_crf,
     "op3_fertility_rules": op3_fertility_rules,
+    "op4_sharded_warc": op4_sharded_warc,
+    "op5_trie_token_counts": op5_trie_token_counts,
     "op6_circulant_minhash": op6_circulant_minhash,
     "op7_schema_fingerprint": op7_schema_fingerprint,
     "op8_contextual_pii": op8_contextual_pii,
     "op9_suffix_automaton": op9_suffix_automaton,
+    "op10_block_labeller": op10_block_labeller,
 }
 
 ORACLES: dict[str, str] = {
