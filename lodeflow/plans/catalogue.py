@@ -5,9 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from lodeflow.functions import exprs
+from lodeflow.functions.shared import shared_dir
 from lodeflow.functions.tables import table
-from lodeflow.operators import counting
+from lodeflow.operators import aggregates, bloom, counting, enumeration, graph, joins, matrix, ordering, similarity
+from lodeflow.sources import readers, sinks, synthetic
+from lodeflow.streaming import counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -33,3 +38,340 @@ WHERE word <> '' GROUP BY word
 """)
 def word_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counting.token_count(table(spark, sf_dir, "documents"), "text")
+
+
+T = table
+
+
+@query("""
+SELECT hour(ts)::INT AS hour, sum(round(value * 100)::BIGINT)::BIGINT AS cents FROM events GROUP BY 1
+""")
+def view_count_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return aggregates.sum_by(T(spark, sf_dir, "events"), [F.hour("ts").alias("hour")], F.round(F.col("value") * 100).cast("long"), as_name="cents")
+
+
+@query("""
+SELECT year(o_orderdate)::INT AS year, max(o_totalprice) AS most FROM orders WHERE o_totalprice <> 9999 AND o_orderstatus IN ('O', 'F') GROUP BY 1
+""")
+def max_by_year(spark: SparkSession, sf_dir: str) -> DataFrame:
+    keep = (F.col("o_totalprice") != 9999) & F.col("o_orderstatus").isin("O", "F")
+    return aggregates.max_by(T(spark, sf_dir, "orders"), [F.year("o_orderdate").alias("year")], F.col("o_totalprice"), keep)
+
+
+@query("""
+SELECT lpad(l_orderkey::VARCHAR, 6, '0')::BIGINT AS station, year(l_shipdate)::INT AS year, month(l_shipdate)::INT AS month, day(l_shipdate)::INT AS day,
+  (l_suppkey % 100000)::INT AS lat, (-(l_partkey % 100000))::INT AS lng, (l_quantity * 10)::INT AS airtemp, l_linenumber::VARCHAR AS quality
+FROM lineitem WHERE (l_quantity * 10)::INT <> 9999 AND l_linenumber IN (0, 1, 4, 5, 9)
+""")
+def fixed_width_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items written as weather records and parsed again."""
+    pad = lambda c, n: F.lpad(c.cast("long").cast("string"), n, "0")
+    signed = lambda c, n: F.concat(F.when(c < 0, "-").otherwise("+"), pad(F.abs(c), n))
+    line = F.concat(
+        F.lit("0000"), pad(F.col("l_orderkey"), 6), F.lit("00000"), F.date_format("l_shipdate", "yyyyMMdd"), F.lit("0000+"), signed(F.pmod("l_suppkey", F.lit(100000)), 5),
+        signed(-F.pmod("l_partkey", F.lit(100000)), 5), F.lit("FM-12 "), F.lit("+0000"), F.repeat(F.lit("9"), 36), signed(F.col("l_quantity") * 10, 4), F.col("l_linenumber").cast("string"),
+    )
+    parsed = readers.weather(T(spark, sf_dir, "lineitem").select(line.alias("value")))
+    return parsed.where(exprs.good_reading(F.col("airtemp"), F.col("quality"))).select("station", "year", "month", "day", "lat", "lng", "airtemp", "quality")
+
+
+@query("SELECT user_id, count(*) AS n FROM events WHERE event_type = 'error' GROUP BY user_id")
+def status_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return aggregates.count_where(T(spark, sf_dir, "events"), [F.col("user_id")], F.col("event_type") == "error")
+
+
+@query("""
+SELECT event_type, hour(ts)::INT AS hour, count(*)::DOUBLE / (count(DISTINCT user_id) * count(DISTINCT ts::DATE)) AS density FROM events GROUP BY 1, 2
+""")
+def density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return aggregates.density(T(spark, sf_dir, "events"), [F.col("event_type"), F.hour("ts").alias("hour")], F.col("user_id"), F.to_date("ts"))
+
+
+_HASH = "list_reduce(list_prepend(0::BIGINT, list_transform(string_split({w}, ''), lambda c: unicode(c)::BIGINT)), lambda h, c: (h * 31 + c) % 4294967296)"
+_FM = f"""
+SELECT {{key}} AS {{key}}, least(floor((xor(bits, 4294967295) & (bits + 1)) / 0.77351), 2147483647)::BIGINT AS estimate FROM (
+  SELECT {{key}}, bit_or(CASE WHEN h = 0 THEN 1 ELSE h & (4294967296 - h) END)::BIGINT AS bits FROM (
+    SELECT DISTINCT {{key}}, {_HASH.format(w='w')} AS h FROM (SELECT DISTINCT {{key}}, split_part(w, '_', 1) AS w FROM (SELECT {{key}}, unnest(regexp_split_to_array({{text}}, '\\s+')) AS w FROM {{table}}) WHERE w <> '')
+    WHERE w <> ''
+  ) GROUP BY {{key}}
+)
+"""
+
+
+def _words(df: DataFrame, key: str, text: str) -> DataFrame:
+    return df.select(key, F.explode(counting.tokens(F.col(text))).alias("w")).select(key, exprs.strip_tag(F.col("w")).alias("w")).where("w <> ''")
+
+
+@query(_FM.format(key="lang", text="text", table="documents"))
+def fm_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return aggregates.fm_distinct(_words(T(spark, sf_dir, "documents"), "lang", "text"), ["lang"], F.col("w"))
+
+
+@query(f"SELECT * FROM ({_FM.format(key='conv_id', text='text', table='conversations')}) ORDER BY estimate DESC, conv_id LIMIT 10")
+def fm_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return aggregates.top_k(aggregates.fm_distinct(_words(T(spark, sf_dir, "conversations"), "conv_id", "text"), ["conv_id"], F.col("w")), "estimate", "conv_id", 10)
+
+
+@query("""
+WITH h AS (SELECT l_suppkey AS id, floor(l_extendedprice / 10000)::BIGINT AS b, count(*) AS n FROM lineitem GROUP BY 1, 2)
+SELECT h.id, coalesce(any_value(s_acctbal), 0.0) AS lat, coalesce(any_value(s_nationkey)::DOUBLE, 0.0) AS lng, string_agg(b || ':' || n, chr(9) ORDER BY b) AS histogram
+FROM h LEFT JOIN (SELECT * FROM supplier WHERE s_acctbal >= 0) ON s_suppkey = h.id GROUP BY h.id
+""")
+def price_histogram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prices = T(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("id"), F.col("l_extendedprice").alias("price"))
+    stations = T(spark, sf_dir, "supplier").where("s_acctbal >= 0").select(F.col("s_suppkey").alias("id"), F.col("s_acctbal").alias("lat"), F.col("s_nationkey").cast("double").alias("lng"))
+    return joins.histogram_join(prices, stations, "id", width=10000)
+
+
+@query("""
+WITH a AS (SELECT doc_id, sum(len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')))::BIGINT AS a FROM documents WHERE text IS NOT NULL GROUP BY 1),
+b AS (SELECT doc_id, sum(n_chars)::BIGINT AS b FROM documents WHERE n_chars >= 100 GROUP BY 1)
+SELECT doc_id, a, b, concat_ws(' ', a, b) AS "both" FROM a FULL JOIN b USING (doc_id)
+""")
+def cogroup_two_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = T(spark, sf_dir, "documents")
+    words = docs.where("text is not null").select("doc_id", F.size(counting.tokens(F.col("text"))).cast("long").alias("value"))
+    return joins.cogrouped(words, docs.where("n_chars >= 100").select("doc_id", F.col("n_chars").alias("value")), "doc_id")
+
+
+@query("SELECT user_id, ts, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS position FROM events")
+def secondary_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ordering.secondary_sort(T(spark, sf_dir, "events"), "user_id", ["ts", "event_id"])
+
+
+@query("SELECT l_orderkey, string_agg(l_linenumber::VARCHAR, ' ' ORDER BY l_linenumber) AS lines FROM lineitem GROUP BY 1")
+def collect_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return aggregates.collected(T(spark, sf_dir, "lineitem"), "l_orderkey", F.col("l_linenumber"), as_name="lines")
+
+
+@query("SELECT event_type, event_id AS y, false AS marker FROM events UNION ALL SELECT DISTINCT event_type, -1, true FROM events")
+def group_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ordering.with_markers(T(spark, sf_dir, "events"), "event_type", F.col("event_id"))
+
+
+@query("SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1")
+def duplicate_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matrix.duplicate_keys(T(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"])
+
+
+@query("""
+WITH a AS (SELECT l_suppkey AS r, l_partkey AS k, sum(l_quantity) AS v FROM lineitem GROUP BY 1, 2 HAVING sum(l_quantity) <> 0),
+b AS (SELECT l_partkey AS k, l_linenumber AS c, sum(l_quantity) AS v FROM lineitem GROUP BY 1, 2 HAVING sum(l_quantity) <> 0)
+SELECT r AS row, c::BIGINT AS col, sum(a.v * b.v) AS value FROM a JOIN b USING (k) GROUP BY 1, 2
+""")
+def sparse_matmul(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(supplier x part) . (part x line number); quantities are whole, so that sums are exact."""
+    items = T(spark, sf_dir, "lineitem")
+    left = items.select(F.col("l_suppkey").alias("row"), F.col("l_partkey").alias("col"), F.col("l_quantity").alias("value"))
+    return matrix.multiply(left, items.select(F.col("l_partkey").alias("row"), F.col("l_linenumber").cast("long").alias("col"), F.col("l_quantity").alias("value")))
+
+
+@query("""
+WITH w AS (SELECT regexp_replace(t, '[^\\p{L}]', '', 'g') AS w FROM (SELECT unnest(regexp_split_to_array(lower(text), '\\s+')) AS t FROM documents) WHERE NOT regexp_matches(t, '[0-9]')),
+c AS (SELECT least(w, reverse(w)) AS k, count(*) FILTER (WHERE w = least(w, reverse(w))) AS f, count(*) FILTER (WHERE w <> least(w, reverse(w))) AS r FROM w WHERE length(w) >= 3 GROUP BY 1)
+SELECT CASE WHEN f < r THEN reverse(k) ELSE k END AS token, greatest(f, r) AS hi, least(f, r) AS lo FROM c WHERE (f > 0 AND r > 0) OR k = reverse(k)
+""")
+def palindromes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return aggregates.palindrome_pairs(T(spark, sf_dir, "documents"), "text")
+
+
+@query(f"""
+WITH l AS (SELECT row_number() OVER () AS line, list_filter(regexp_split_to_array(lower(t), '[^\\p{{L}}]+'), lambda w: w <> '') AS w FROM (SELECT unnest(string_split(text, chr(10))) AS t FROM documents)),
+p AS (SELECT line, unnest(w) AS w, unnest(range(len(w))) AS i FROM l WHERE len(w) > 1),
+n AS (SELECT a.w AS word, b.w AS other, count(*) AS n FROM p a JOIN p b ON a.line = b.line AND b.i IN (a.i - 3, a.i - 2, a.i - 1, a.i + 1, a.i + 2, a.i + 3) WHERE a.w <> b.w GROUP BY 1, 2 HAVING count(*) >= 5),
+h AS (SELECT other, CASE WHEN h >= 2147483648 THEN h - 4294967296 ELSE h END AS h FROM (SELECT other, {_HASH.format(w='other')} AS h FROM (SELECT DISTINCT other FROM n)))
+SELECT word, h AS neighbour, sum(n)::BIGINT AS n FROM n JOIN h USING (other) GROUP BY 1, 2
+""")
+def neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return aggregates.neighbours(T(spark, sf_dir, "documents"), "text", least=5)
+
+
+def _sig_sql(n: int) -> str:
+    each = (f"list_min(list_transform(h, lambda x: (x * {a} + {b}) % {similarity.PRIME}))" for a, b in similarity.coefficients(n))
+    return f"[{', '.join(each)}]"
+
+
+_SETS = """SELECT doc_id AS id, list_sort(list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}]+'), lambda w: w <> ''))) AS items FROM documents"""
+_SIGNED = f"SELECT id, items, {_sig_sql(20)} AS sig FROM (SELECT id, items, list_transform(items, lambda w: ('0x' || substr(md5(w), 1, 8))::BIGINT) AS h FROM c)"
+
+
+@query(f"""
+WITH s AS ({_SETS}), c AS (SELECT min(id) AS id, items FROM s WHERE len(items) > 0 GROUP BY items), g AS ({_SIGNED}),
+k AS (SELECT id, unnest(list_transform(range(10), lambda k: k || ',' || sig[2 * k + 1] || ',' || sig[2 * k + 2])) AS key FROM g),
+p AS (SELECT DISTINCT x.id AS a, y.id AS b FROM k x JOIN k y USING (key) WHERE x.id < y.id),
+j AS (SELECT a, b, len(list_intersect(x.items, y.items)) AS i, len(x.items) AS na, len(y.items) AS nb FROM p JOIN c x ON x.id = a JOIN c y ON y.id = b)
+SELECT a, b, i::DOUBLE / (na + nb - i) AS jaccard FROM j WHERE i::DOUBLE / (na + nb - i) >= 0.5
+""")
+def lsh_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of classes of equal word sets; ``word_set_classes`` has the members."""
+    return similarity.lsh_pairs(similarity.word_sets(T(spark, sf_dir, "documents"), "doc_id", "text"))
+
+
+@query(f"WITH s AS ({_SETS}) SELECT id, min(id) OVER (PARTITION BY items) AS class FROM s WHERE len(items) > 0")
+def word_set_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document with words, and the least id with the same word set."""
+    sets = similarity.word_sets(T(spark, sf_dir, "documents"), "doc_id", "text").where(F.size("items") > 0).select("id", F.sha2(F.array_join("items", "\n"), 256).alias("d"))
+    return sets.join(sets.groupBy("d").agg(F.min("id").alias("class")), "d").select("id", "class")
+
+
+_PARTS = "SELECT l_suppkey AS id, list_sort(list_distinct(list(l_partkey))) AS items FROM lineitem GROUP BY 1"
+
+
+def _part_sets(spark: SparkSession, sf_dir: str, key: str = "l_suppkey") -> DataFrame:
+    return T(spark, sf_dir, "lineitem").groupBy(F.col(key).alias("id")).agg(F.array_sort(F.collect_set("l_partkey")).alias("items"))
+
+
+@query(f"""
+WITH s AS (SELECT l_orderkey AS id, list_sort(list_distinct(list(l_partkey))) AS items FROM lineitem GROUP BY 1), c AS (SELECT min(id) AS id, items FROM s GROUP BY items),
+x AS (SELECT id, len(items) AS n, unnest(items) AS t FROM c),
+p AS (SELECT a.id AS a, b.id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS i FROM x a JOIN x b ON a.t = b.t AND a.id < b.id GROUP BY 1, 2)
+SELECT a, b, i::DOUBLE / (na + nb - i) AS jaccard FROM p WHERE i::DOUBLE / (na + nb - i) >= 0.3
+""")
+def all_pairs_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders with similar sets of parts, exactly."""
+    return similarity.similar_pairs(_part_sets(spark, sf_dir, "l_orderkey"), least=0.3)
+
+
+@query(f"""
+WITH s AS ({_PARTS}), p AS (SELECT len(list_intersect(x.items, y.items)) AS i, len(x.items) + len(y.items) AS n FROM s x JOIN s y ON x.id < y.id)
+SELECT round(avg(i::DOUBLE / (n - i)), 9) AS average, count(*) AS pairs FROM p
+""")
+def avg_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similarity.average_jaccard(_part_sets(spark, sf_dir)).select(F.round("average", 9).alias("average"), "pairs")
+
+
+@query(f"""
+WITH c AS (SELECT * FROM ({_SETS}) WHERE len(items) > 0), g AS ({_SIGNED})
+SELECT stage::INT AS stage, bucket, count(*) AS n FROM (
+  SELECT unnest(range(4)) AS stage, unnest(list_transform(range(4), lambda k: list_reduce(list_prepend(0::BIGINT, sig[5 * k + 1:5 * k + 5]), lambda a, v: (a + v * {similarity.BUCKET_PRIME}) % 10))) AS bucket FROM g
+) GROUP BY 1, 2
+""")
+def lsh_bucket_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similarity.bucket_counts(similarity.word_sets(T(spark, sf_dir, "documents"), "doc_id", "text"))
+
+
+@query(f"""
+WITH d AS (SELECT i AS id, j, ('0x' || substr(md5('b:' || i // 10 || ':' || j), 1, 8))::BIGINT / 4294967296.0::DOUBLE < 0.25::DOUBLE AS b,
+  ('0x' || substr(md5('f:' || i || ':' || j), 1, 8))::BIGINT / 4294967296.0::DOUBLE < 0.02::DOUBLE * (i % 10) AS f FROM range(300) t(i), range(100) u(j)),
+c AS (SELECT id, list(j::VARCHAR ORDER BY j) FILTER (WHERE b <> f) AS items FROM d GROUP BY id), g AS ({_SIGNED}),
+k AS (SELECT id, items, list_transform(range(10), lambda k: k || ',' || sig[2 * k + 1] || ',' || sig[2 * k + 2]) AS keys FROM g),
+p AS (SELECT len(list_intersect(x.items, y.items)) AS i, len(x.items) + len(y.items) AS n, list_has_any(x.keys, y.keys) AS met FROM k x JOIN k y ON x.id < y.id)
+SELECT floor(i::DOUBLE / (n - i) * 10 + 1e-9)::INT AS decile, count(*) AS pairs, count(*) FILTER (WHERE met) AS collided FROM p GROUP BY 1
+""")
+def lsh_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An experiment of a fixed size over generated sets: it reads no table."""
+    return similarity.collision_curve(similarity.random_sets(spark, 300, 100))
+
+
+@query("""
+SELECT b::INT AS bands, r::INT AS rows, round(1 - pow(1 - pow(0.5::DOUBLE, r), b), 9) AS p_high, round(1 - pow(1 - pow(0.4::DOUBLE, r), b), 9) AS p_low
+FROM range(30, 51) t(b), range(3, 8) u(r) WHERE 1 - pow(1 - pow(0.5::DOUBLE, r), b) >= 0.8 AND 1 - pow(1 - pow(0.4::DOUBLE, r), b) < 0.6
+""")
+def s_curve_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similarity.s_curve_grid(spark)
+
+
+@query("SELECT times, count(*) AS n FROM (SELECT l_partkey, count(*) AS times FROM lineitem GROUP BY 1) GROUP BY 1")
+def freq_of_freq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return aggregates.frequency_of_frequencies(T(spark, sf_dir, "lineitem"), F.col("l_partkey"))
+
+
+@query("SELECT times, count(*) AS n FROM (SELECT l_suppkey, count(*) AS times FROM lineitem GROUP BY 1) GROUP BY 1")
+def freq_of_freq_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first column of tab-separated lines."""
+    pairs = T(spark, sf_dir, "lineitem").select(F.concat_ws("\t", F.col("l_suppkey").cast("string"), F.col("l_partkey").cast("string")).alias("value"))
+    return aggregates.frequency_of_frequencies(pairs, F.get(F.split("value", "\t"), F.lit(0)))
+
+
+@query("""
+WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey AS x, 1000000000 + l_orderkey AS y FROM lineitem), w AS (SELECT x, y FROM e UNION ALL SELECT y, x FROM e),
+r AS (SELECT 0::BIGINT AS id, 0 AS distance UNION SELECT w.y, r.distance + 1 FROM r JOIN w ON w.x = r.id WHERE r.distance < 4)
+SELECT id, min(distance)::INT AS distance FROM r WHERE id <> 0 GROUP BY id
+""")
+def bounded_bfs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Steps from supplier 0 in the graph of suppliers and orders."""
+    edges = T(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("id1"), (F.col("l_orderkey") + 1000000000).alias("id2"))
+    return graph.bounded_distances(edges, 0)
+
+
+#: A puzzle for each customer: a letter of five is ruled out by a hint, the password has three of the others.
+_PUZZLES = """SELECT c_custkey AS id, substr('ABCDE', (c_custkey % 5)::INT + 1, 1) AS o, replace('ABCDE', substr('ABCDE', (c_custkey % 5)::INT + 1, 1), '') AS r FROM customer"""
+_PASSWORD = "substr(r, (id // 5 % 4)::INT + 1, 1) || substr(r, (id // 20 % 4)::INT + 1, 1) || substr(r, (id // 80 % 4)::INT + 1, 1)"
+
+
+def _puzzles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("c_custkey")
+    letter = lambda s, n: F.substring(s, F.pmod(n, F.lit(5 if s is not rest else 4)).cast("int") + 1, F.lit(1))
+    rest = F.replace(F.lit("ABCDE"), F.substring(F.lit("ABCDE"), F.pmod(k, F.lit(5)).cast("int") + 1, F.lit(1)))
+    password = F.concat(*(letter(rest, F.floor(k / d)) for d in (5, 20, 80)))
+    return T(spark, sf_dir, "customer").select(k.alias("id"), F.sha2(password, 256).alias("main"), F.array(F.sha2(rest, 256), F.sha2(F.reverse(rest), 256)).alias("hints"))
+
+
+@query(f"SELECT id, sha256({_PASSWORD}) AS value FROM ({_PUZZLES}) UNION ALL SELECT id, o FROM ({_PUZZLES})")
+def hash_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return enumeration.looked_up(spark, _puzzles(spark, sf_dir), 5)
+
+
+@query(f"SELECT id, {_PASSWORD} AS password FROM ({_PUZZLES})")
+def enumerate_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return enumeration.solved(spark, _puzzles(spark, sf_dir), 5, 3)
+
+
+@query("""
+SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY md5(event_id::VARCHAR), event_id) AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events)
+WHERE i <= greatest(1, floor(0.1::DOUBLE * n + 0.5::DOUBLE))
+""")
+def per_user_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ordering.per_key_sample(T(spark, sf_dir, "events"), "user_id", "event_id")
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'MACHINERY')")
+def bloom_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = T(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("key"))
+    customers = T(spark, sf_dir, "customer").where("c_mktsegment = 'MACHINERY'").select(F.col("c_custkey").alias("key"))
+    n = min(max(1, customers.count()), 1 << 24)
+    return bloom.semi_join(orders, customers, "key", n=n).select("o_orderkey", F.col("key").alias("o_custkey"))
+
+
+@query()
+def file_name_col(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows by file of a table; the names hang on how it is stored."""
+    rows = readers.named(T(spark, sf_dir, "orders").select("o_orderkey", "_metadata"))
+    return rows.groupBy("file_name", F.array_join("file_parts", "|").alias("parts")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT count(*) AS calls, count(*) FILTER (WHERE event_type = 'error') AS writes FROM events")
+def counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept, seen = aggregates.counted(T(spark, sf_dir, "events"), F.col("event_type") == "error")
+    kept.write.format("noop").mode("overwrite").save()
+    return spark.createDataFrame([(seen.get["calls"], seen.get["writes"])], "calls long, writes long")
+
+
+@query()
+def synthetic_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    synthetic.register(spark)
+    return spark.read.format("words").option("records", 100_000).option("splits", 5).load()
+
+
+@query("SELECT CAST(s_suppkey % 10 AS BIGINT) AS bucket, count(*) AS n, count(*) AS n_text, count(*) AS n_seq FROM supplier GROUP BY 1")
+def multi_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers written as text, as sequence files and by bucket, and all of it read back."""
+    path = shared_dir(spark)
+    sinks.several(T(spark, sf_dir, "supplier"), path, key="s_suppkey", value="s_name")
+    text = readers.delimited(readers.lines(spark, f"{path}/text"), {"k": (0, "long")}).groupBy(F.pmod("k", F.lit(10)).alias("bucket")).agg(F.count("*").alias("n_text"))
+    seq = sinks.read_sequence(spark, f"{path}/seq", "k long, v string").groupBy(F.pmod("k", F.lit(10)).alias("bucket")).agg(F.count("*").alias("n_seq"))
+    by = spark.read.parquet(f"{path}/sec").groupBy(F.col("bucket").cast("long").alias("bucket")).agg(F.count("*").alias("n"))
+    return by.join(text, "bucket").join(seq, "bucket")
+
+
+@query("SELECT event_type, count(*) AS n FROM events GROUP BY 1")
+def stream_event_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as a stream that ends; its last state equals the batch result."""
+    schema = T(spark, sf_dir, "events").schema
+    return counts.final_state(spark, f"{sf_dir.rstrip('/')}/events.parquet", schema, lambda df: df.groupBy("event_type").agg(F.count("*").alias("n")))
+
+
+@query("SELECT date_trunc('hour', ts)::TIMESTAMP AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def stream_hourly_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    schema = T(spark, sf_dir, "events").schema
+    return counts.final_state(spark, f"{sf_dir.rstrip('/')}/events.parquet", schema, counts.windowed_counts)
