@@ -36,8 +36,12 @@ def density(df: DataFrame, keys: list[Column], one: Column, other: Column) -> Da
 
 
 def fm_distinct(df: DataFrame, keys: list[str], word: Column) -> DataFrame:
-    """Flajolet-Martin estimates of the distinct words by key; only a bit map for each key and task is exchanged."""
-    bits = df.select(*keys, exprs.lowest_bit(exprs.unsigned_hash(word)).alias("bit")).groupBy(*keys).agg(F.bit_or("bit").alias("bits"))
+    """Flajolet-Martin estimates of the distinct words by key.
+
+    Words repeat, and their hash costs far more than a lookup: each is hashed once, after its copies are combined.
+    """
+    each = df.select(*keys, word.alias("_w")).distinct()
+    bits = each.select(*keys, exprs.lowest_bit(exprs.unsigned_hash(F.col("_w"))).alias("bit")).groupBy(*keys).agg(F.bit_or("bit").alias("bits"))
     return bits.select(*keys, exprs.fm_estimate(F.col("bits")).alias("estimate"))
 
 
@@ -54,7 +58,7 @@ def frequency_of_frequencies(df: DataFrame, value: Column) -> DataFrame:
 def histograms(df: DataFrame, key: str, bucket: Column, *, as_name: str = "histogram") -> DataFrame:
     """Each key's buckets with their counts as text, ``bucket:n`` by bucket with tabs between."""
     each = df.select(key, bucket.alias("b")).groupBy(key, "b").agg(F.count("*").alias("n"))
-    cells = F.array_sort(F.collect_list(F.struct("b", "n")))
+    cells = F.sort_array(F.collect_list(F.struct("b", "n")))
     return each.groupBy(key).agg(F.array_join(F.transform(cells, lambda c: F.concat_ws(":", c["b"].cast("string"), c["n"].cast("string"))), "\t").alias(as_name))
 
 
@@ -79,8 +83,8 @@ def neighbours(df: DataFrame, text: str, *, distance: int = 3, least: int = 2) -
     its own neighbour.
     """
     lines = df.select(F.explode(F.split(F.coalesce(text, F.lit("")), "\n")).alias("line")).select(exprs.letters(F.col("line")).alias("w")).where(F.size("w") > 1)
-    near = F.flatten(F.transform("w", lambda x, i: F.transform(F.slice(F.col("w"), i + 2, F.lit(distance)), lambda y: F.struct(x.alias("x"), y.alias("y")))))
-    ahead = lines.select(F.explode(near).alias("p")).select("p.x", "p.y").where("x <> y").groupBy("x", "y").agg(F.count("*").alias("n"))
+    moved = [F.arrays_zip(F.col("w").alias("x"), F.slice(F.col("w"), d + 1, F.size("w")).alias("y")) for d in range(1, distance + 1)]
+    ahead = lines.select(F.explode(F.concat(*moved)).alias("p")).select("p.x", "p.y").where("x <> y").groupBy("x", "y").agg(F.count("*").alias("n"))
     both = ahead.select(F.explode(F.array(F.struct("x", "y", "n"), F.struct(F.col("y").alias("x"), F.col("x").alias("y"), "n"))).alias("p")).select("p.*")
     found = both.groupBy("x", "y").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
     return found.select(F.col("x").alias("word"), exprs.java_hash(F.col("y")).alias("neighbour"), "n").groupBy("word", "neighbour").agg(F.sum("n").alias("n"))
@@ -88,4 +92,4 @@ def neighbours(df: DataFrame, text: str, *, distance: int = 3, least: int = 2) -
 
 def collected(df: DataFrame, key: str, value: Column, *, as_name: str = "values") -> DataFrame:
     """A key's values, sorted, as one string. For keys with few rows: a key's values meet in one task."""
-    return df.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(value)), lambda v: v.cast("string")), " ").alias(as_name))
+    return df.groupBy(key).agg(F.array_join(F.transform(F.sort_array(F.collect_list(value)), lambda v: v.cast("string")), " ").alias(as_name))

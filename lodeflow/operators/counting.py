@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def tokens(text: Column, pattern: str = r"\s+") -> Column:
     """The non-empty pieces of ``text`` between matches of ``pattern``; null gives none."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), pattern), lambda w: w != "")
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), pattern), "")
 
 
 def token_count(df: DataFrame, text: str, *, pattern: str = r"\s+") -> DataFrame:

@@ -37,6 +37,17 @@ def signature(hashes: Column, coefs: list[tuple[int, int]]) -> Column:
     return F.array(*(least(a, b) for a, b in coefs))
 
 
+def signed(items: Column, n_hashes: int) -> Column:
+    """The signature of an array of strings or numbers; the items are hashed once."""
+    hashes = F.transform(items, lambda v: exprs.md5_32(v.cast("string")))
+    return F.transform(F.array(hashes), lambda h: signature(h, coefficients(n_hashes)))[0]
+
+
+def banded(items: Column, n_hashes: int, n_bands: int) -> Column:
+    """The band keys of an array."""
+    return F.transform(F.array(signed(items, n_hashes)), lambda s: bands(s, n_bands, n_hashes // n_bands))[0]
+
+
 def similarity(a: Column, b: Column) -> Column:
     """The share of equal places of two signatures."""
     return F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda e: e)) / F.size(a)
@@ -56,7 +67,7 @@ def buckets(sig: Column, stages: int, rows: int, n_buckets: int) -> Column:
 
 def word_sets(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(id, items): distinct words of each row, sorted."""
-    return docs.select(F.col(key).alias("id"), F.array_sort(F.array_distinct(exprs.letters(F.col(text)))).alias("items"))
+    return docs.select(F.col(key).alias("id"), F.sort_array(F.array_distinct(exprs.letters(F.col(text)))).alias("items"))
 
 
 def classes(sets: DataFrame) -> DataFrame:
@@ -72,14 +83,13 @@ def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return out.where(F.col("jaccard") >= least)
 
 
-def lsh_pairs(sets: DataFrame, *, n_hashes: int = 20, n_bands: int = 10, least: float = 0.5) -> DataFrame:
+def lsh_pairs(sets: DataFrame, *, n_hashes: int = 30, n_bands: int = 10, least: float = 0.5) -> DataFrame:
     """(a, b, jaccard): pairs of classes of equal sets that share a band and are similar enough, a < b.
 
     Signatures are made inside the row; the exchange holds a key for each band. Copies are one row from the start.
     """
     reps = classes(sets)
-    hashes = F.transform("items", lambda v: exprs.md5_32(v.cast("string")))
-    keys = reps.select("id", hashes.alias("h")).select("id", F.explode(bands(signature(F.col("h"), coefficients(n_hashes)), n_bands, n_hashes // n_bands)).alias("key"))
+    keys = reps.select("id", F.explode(banded(F.col("items"), n_hashes, n_bands)).alias("key"))
     other = keys.select(F.col("id").alias("b"), "key")
     pairs = keys.select(F.col("id").alias("a"), "key").join(other, "key").where("a < b").select("a", "b").distinct()
     return _verified(pairs, reps, least)
@@ -94,7 +104,7 @@ def similar_pairs(sets: DataFrame, *, least: float = 0.5) -> DataFrame:
     reps = classes(sets)
     own = reps.select("id", F.size("items").alias("n"), F.explode("items").alias("item"))
     often = own.groupBy("item").agg(F.count("*").alias("df"))
-    ranked = own.join(often, "item").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "item"))).alias("x"))
+    ranked = own.join(often, "item").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "item"))).alias("x"))
     keep = (F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1).cast("int")
     front = ranked.select("id", "n", F.explode(F.slice(F.col("x"), F.lit(1), keep)).alias("e")).where("e.df > 1").select("id", "n", F.col("e.item").alias("item"))
     a, b = (front.select(F.col("id").alias(c), F.col("n").alias(f"{c}_n"), "item") for c in "ab")
@@ -110,10 +120,11 @@ def block_pairs(sets: DataFrame, blocks: int) -> DataFrame:
     at = F.pmod(F.xxhash64("id"), F.lit(blocks))
     left = sets.select(F.col("id").alias("a_id"), F.col("items").alias("a_items"), at.alias("i"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("j"))
     right = sets.select(F.col("id").alias("b_id"), F.col("items").alias("b_items"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("i"), at.alias("j"))
+    left = left.repartition(min(blocks * blocks, 10_000), "i", "j")  # the rows are few, the work for each is not
     return left.join(right, ["i", "j"]).where("a_id < b_id").drop("i", "j")
 
 
-def average_jaccard(sets: DataFrame, *, block: int = 1000) -> DataFrame:
+def average_jaccard(sets: DataFrame, *, block: int = 128) -> DataFrame:
     """(average, pairs): the mean Jaccard index over all pairs of rows; null without pairs. Only sums leave the blocks."""
     blocks = max(1, -(-sets.count() // block))
     out = block_pairs(sets, blocks).agg(F.avg(exprs.jaccard(F.col("a_items"), F.col("b_items"))).alias("average"), F.count("*").alias("pairs"))
@@ -122,8 +133,8 @@ def average_jaccard(sets: DataFrame, *, block: int = 1000) -> DataFrame:
 
 def bucket_counts(sets: DataFrame, *, n_hashes: int = 20, stages: int = 4, n_buckets: int = 10) -> DataFrame:
     """(stage, bucket, n): how the sets spread over the buckets of each stage."""
-    hashes = F.transform("items", lambda v: exprs.md5_32(v.cast("string")))
-    found = sets.where(F.size("items") > 0).select(hashes.alias("h")).select(F.posexplode(buckets(signature(F.col("h"), coefficients(n_hashes)), stages, n_hashes // stages, n_buckets)).alias("stage", "bucket"))
+    at = F.transform(F.array(signed(F.col("items"), n_hashes)), lambda s: buckets(s, stages, n_hashes // stages, n_buckets))[0]
+    found = sets.where(F.size("items") > 0).select(F.posexplode(at).alias("stage", "bucket"))
     return found.groupBy("stage", "bucket").agg(F.count("*").alias("n"))
 
 
@@ -136,11 +147,10 @@ def random_sets(spark: SparkSession, n: int, dimensions: int) -> DataFrame:
     return spark.range(n).select("id", F.filter(F.sequence(F.lit(0), F.lit(dimensions - 1)), there).alias("items"))
 
 
-def collision_curve(sets: DataFrame, *, n_hashes: int = 20, n_bands: int = 10, block: int = 500) -> DataFrame:
+def collision_curve(sets: DataFrame, *, n_hashes: int = 20, n_bands: int = 10, block: int = 64) -> DataFrame:
     """(decile, pairs, collided): by tenths of similarity, how many pairs there are and how many share a band."""
-    hashes = F.transform("items", lambda v: exprs.md5_32(v.cast("string")))
-    signed = sets.select("id", F.struct("items", bands(signature(hashes, coefficients(n_hashes)), n_bands, n_hashes // n_bands).alias("keys")).alias("items"))
-    pairs = block_pairs(signed, max(1, -(-sets.count() // block)))
+    keyed = sets.select("id", F.struct("items", banded(F.col("items"), n_hashes, n_bands).alias("keys")).alias("items"))
+    pairs = block_pairs(keyed, max(1, -(-sets.count() // block)))
     j = exprs.jaccard(F.col("a_items.items"), F.col("b_items.items"))
     met = F.arrays_overlap(F.col("a_items.keys"), F.col("b_items.keys"))
     return pairs.select(F.floor(j * 10 + 1e-9).cast("int").alias("decile"), met.alias("met")).groupBy("decile").agg(F.count("*").alias("pairs"), F.count_if("met").alias("collided"))

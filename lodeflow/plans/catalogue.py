@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lodeflow.functions import exprs
 from lodeflow.functions.shared import shared_dir
-from lodeflow.functions.tables import table
+from lodeflow.functions.tables import spread, table
 from lodeflow.operators import aggregates, bloom, counting, enumeration, graph, joins, matrix, ordering, similarity
 from lodeflow.sources import readers, sinks, synthetic
 from lodeflow.streaming import counts
@@ -37,7 +37,7 @@ FROM (SELECT unnest(regexp_split_to_array(text, '\\s+')) AS word FROM documents)
 WHERE word <> '' GROUP BY word
 """)
 def word_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return counting.token_count(table(spark, sf_dir, "documents"), "text")
+    return counting.token_count(spread(table(spark, sf_dir, "documents")), "text")
 
 
 T = table
@@ -71,7 +71,7 @@ def fixed_width_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("0000"), pad(F.col("l_orderkey"), 6), F.lit("00000"), F.date_format("l_shipdate", "yyyyMMdd"), F.lit("0000+"), signed(F.pmod("l_suppkey", F.lit(100000)), 5),
         signed(-F.pmod("l_partkey", F.lit(100000)), 5), F.lit("FM-12 "), F.lit("+0000"), F.repeat(F.lit("9"), 36), signed(F.col("l_quantity") * 10, 4), F.col("l_linenumber").cast("string"),
     )
-    parsed = readers.weather(T(spark, sf_dir, "lineitem").select(line.alias("value")))
+    parsed = readers.weather(spread(T(spark, sf_dir, "lineitem")).select(line.alias("value")))
     return parsed.where(exprs.good_reading(F.col("airtemp"), F.col("quality"))).select("station", "year", "month", "day", "lat", "lng", "airtemp", "quality")
 
 
@@ -104,12 +104,12 @@ def _words(df: DataFrame, key: str, text: str) -> DataFrame:
 
 @query(_FM.format(key="lang", text="text", table="documents"))
 def fm_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return aggregates.fm_distinct(_words(T(spark, sf_dir, "documents"), "lang", "text"), ["lang"], F.col("w"))
+    return aggregates.fm_distinct(_words(spread(T(spark, sf_dir, "documents")), "lang", "text"), ["lang"], F.col("w"))
 
 
 @query(f"SELECT * FROM ({_FM.format(key='conv_id', text='text', table='conversations')}) ORDER BY estimate DESC, conv_id LIMIT 10")
 def fm_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return aggregates.top_k(aggregates.fm_distinct(_words(T(spark, sf_dir, "conversations"), "conv_id", "text"), ["conv_id"], F.col("w")), "estimate", "conv_id", 10)
+    return aggregates.top_k(aggregates.fm_distinct(_words(spread(T(spark, sf_dir, "conversations")), "conv_id", "text"), ["conv_id"], F.col("w")), "estimate", "conv_id", 10)
 
 
 @query("""
@@ -172,7 +172,7 @@ c AS (SELECT least(w, reverse(w)) AS k, count(*) FILTER (WHERE w = least(w, reve
 SELECT CASE WHEN f < r THEN reverse(k) ELSE k END AS token, greatest(f, r) AS hi, least(f, r) AS lo FROM c WHERE (f > 0 AND r > 0) OR k = reverse(k)
 """)
 def palindromes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return aggregates.palindrome_pairs(T(spark, sf_dir, "documents"), "text")
+    return aggregates.palindrome_pairs(spread(T(spark, sf_dir, "documents")), "text")
 
 
 @query(f"""
@@ -183,7 +183,7 @@ h AS (SELECT other, CASE WHEN h >= 2147483648 THEN h - 4294967296 ELSE h END AS
 SELECT word, h AS neighbour, sum(n)::BIGINT AS n FROM n JOIN h USING (other) GROUP BY 1, 2
 """)
 def neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return aggregates.neighbours(T(spark, sf_dir, "documents"), "text", least=5)
+    return aggregates.neighbours(spread(T(spark, sf_dir, "documents")), "text", least=5)
 
 
 def _sig_sql(n: int) -> str:
@@ -192,25 +192,25 @@ def _sig_sql(n: int) -> str:
 
 
 _SETS = """SELECT doc_id AS id, list_sort(list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}]+'), lambda w: w <> ''))) AS items FROM documents"""
-_SIGNED = f"SELECT id, items, {_sig_sql(20)} AS sig FROM (SELECT id, items, list_transform(items, lambda w: ('0x' || substr(md5(w), 1, 8))::BIGINT) AS h FROM c)"
+_SIGNED = "SELECT id, items, {sig} AS sig FROM (SELECT id, items, list_transform(items, lambda w: ('0x' || substr(md5(w), 1, 8))::BIGINT) AS h FROM c)"
 
 
 @query(f"""
-WITH s AS ({_SETS}), c AS (SELECT min(id) AS id, items FROM s WHERE len(items) > 0 GROUP BY items), g AS ({_SIGNED}),
-k AS (SELECT id, unnest(list_transform(range(10), lambda k: k || ',' || sig[2 * k + 1] || ',' || sig[2 * k + 2])) AS key FROM g),
+WITH s AS ({_SETS}), c AS (SELECT min(id) AS id, items FROM s WHERE len(items) > 0 GROUP BY items), g AS ({_SIGNED.format(sig=_sig_sql(30))}),
+k AS (SELECT id, unnest(list_transform(range(10), lambda k: k || ',' || sig[3 * k + 1] || ',' || sig[3 * k + 2] || ',' || sig[3 * k + 3])) AS key FROM g),
 p AS (SELECT DISTINCT x.id AS a, y.id AS b FROM k x JOIN k y USING (key) WHERE x.id < y.id),
 j AS (SELECT a, b, len(list_intersect(x.items, y.items)) AS i, len(x.items) AS na, len(y.items) AS nb FROM p JOIN c x ON x.id = a JOIN c y ON y.id = b)
 SELECT a, b, i::DOUBLE / (na + nb - i) AS jaccard FROM j WHERE i::DOUBLE / (na + nb - i) >= 0.5
 """)
 def lsh_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of classes of equal word sets; ``word_set_classes`` has the members."""
-    return similarity.lsh_pairs(similarity.word_sets(T(spark, sf_dir, "documents"), "doc_id", "text"))
+    return similarity.lsh_pairs(similarity.word_sets(spread(T(spark, sf_dir, "documents")), "doc_id", "text"))
 
 
 @query(f"WITH s AS ({_SETS}) SELECT id, min(id) OVER (PARTITION BY items) AS class FROM s WHERE len(items) > 0")
 def word_set_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document with words, and the least id with the same word set."""
-    sets = similarity.word_sets(T(spark, sf_dir, "documents"), "doc_id", "text").where(F.size("items") > 0).select("id", F.sha2(F.array_join("items", "\n"), 256).alias("d"))
+    sets = similarity.word_sets(spread(T(spark, sf_dir, "documents")), "doc_id", "text").where(F.size("items") > 0).select("id", F.sha2(F.array_join("items", "\n"), 256).alias("d"))
     return sets.join(sets.groupBy("d").agg(F.min("id").alias("class")), "d").select("id", "class")
 
 
@@ -218,7 +218,7 @@ _PARTS = "SELECT l_suppkey AS id, list_sort(list_distinct(list(l_partkey))) AS i
 
 
 def _part_sets(spark: SparkSession, sf_dir: str, key: str = "l_suppkey") -> DataFrame:
-    return T(spark, sf_dir, "lineitem").groupBy(F.col(key).alias("id")).agg(F.array_sort(F.collect_set("l_partkey")).alias("items"))
+    return T(spark, sf_dir, "lineitem").groupBy(F.col(key).alias("id")).agg(F.sort_array(F.collect_set("l_partkey")).alias("items"))
 
 
 @query(f"""
@@ -241,19 +241,19 @@ def avg_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH c AS (SELECT * FROM ({_SETS}) WHERE len(items) > 0), g AS ({_SIGNED})
+WITH c AS (SELECT * FROM ({_SETS}) WHERE len(items) > 0), g AS ({_SIGNED.format(sig=_sig_sql(20))})
 SELECT stage::INT AS stage, bucket, count(*) AS n FROM (
   SELECT unnest(range(4)) AS stage, unnest(list_transform(range(4), lambda k: list_reduce(list_prepend(0::BIGINT, sig[5 * k + 1:5 * k + 5]), lambda a, v: (a + v * {similarity.BUCKET_PRIME}) % 10))) AS bucket FROM g
 ) GROUP BY 1, 2
 """)
 def lsh_bucket_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similarity.bucket_counts(similarity.word_sets(T(spark, sf_dir, "documents"), "doc_id", "text"))
+    return similarity.bucket_counts(similarity.word_sets(spread(T(spark, sf_dir, "documents")), "doc_id", "text"))
 
 
 @query(f"""
 WITH d AS (SELECT i AS id, j, ('0x' || substr(md5('b:' || i // 10 || ':' || j), 1, 8))::BIGINT / 4294967296.0::DOUBLE < 0.25::DOUBLE AS b,
   ('0x' || substr(md5('f:' || i || ':' || j), 1, 8))::BIGINT / 4294967296.0::DOUBLE < 0.02::DOUBLE * (i % 10) AS f FROM range(300) t(i), range(100) u(j)),
-c AS (SELECT id, list(j::VARCHAR ORDER BY j) FILTER (WHERE b <> f) AS items FROM d GROUP BY id), g AS ({_SIGNED}),
+c AS (SELECT id, list(j::VARCHAR ORDER BY j) FILTER (WHERE b <> f) AS items FROM d GROUP BY id), g AS ({_SIGNED.format(sig=_sig_sql(20))}),
 k AS (SELECT id, items, list_transform(range(10), lambda k: k || ',' || sig[2 * k + 1] || ',' || sig[2 * k + 2]) AS keys FROM g),
 p AS (SELECT len(list_intersect(x.items, y.items)) AS i, len(x.items) + len(y.items) AS n, list_has_any(x.keys, y.keys) AS met FROM k x JOIN k y ON x.id < y.id)
 SELECT floor(i::DOUBLE / (n - i) * 10 + 1e-9)::INT AS decile, count(*) AS pairs, count(*) FILTER (WHERE met) AS collided FROM p GROUP BY 1

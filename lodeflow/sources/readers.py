@@ -53,7 +53,7 @@ def edges(df: DataFrame, *, line: str = "value") -> DataFrame:
 def weather(df: DataFrame, *, line: str = "value") -> DataFrame:
     """The fields of weather records with their station's id; lines that are too short go."""
     kept = df.where(F.length(line) > exprs.WEATHER_LONGER_THAN)
-    out = kept.select(*exprs.fixed_width(F.col(line), exprs.WEATHER, exprs.WEATHER_LONGER_THAN))
+    out = kept.select(*exprs.fixed_width(F.col(line), exprs.WEATHER))
     return out.withColumn("station", exprs.station_id(F.col("usaf"), F.col("wban")))
 
 
