@@ -36,7 +36,7 @@ def texts(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
-def pieces(batches: Iterator[pa.RecordBatch], rows: int = 1000, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def pieces(batches: Iterator[pa.RecordBatch], rows: int = 1000, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Batches cut into slices of few rows and about ``most`` bytes; a single longer row is a slice of its own."""
     for b in batches:
         at, step = 0, max(1, min(rows, b.num_rows * most // max(1, b.nbytes)))

@@ -25,7 +25,7 @@ from lodeflow.llm.common import arrow_map, texts
 
 TOKENIZERS = "/opt/tokenizers"
 SYMBOLS, SPACES, FOLLOWING = b"#*$%&|<>", b" \t\n\r\x0b\x0c", bytes(range(0x80, 0xC0))
-CACHE = 1 << 19
+CACHE = 1 << 18
 
 
 @dataclass(frozen=True)
@@ -62,7 +62,7 @@ def script(text: str) -> str:
 
 
 class _Words(dict):
-    """word -> (piece ids, number of byte pieces, number of byte-level tokens), for a bounded number of words."""
+    """word -> (piece ids in 32 bits each, number of byte pieces, number of byte-level tokens), for a bounded number of words."""
 
     def __init__(self, path: str) -> None:
         import sentencepiece
@@ -75,7 +75,7 @@ class _Words(dict):
         pattern = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
         self.bpe = tiktoken.Encoding("words", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
-    def cut(self, words: list[bytes]) -> list[tuple[list[int], int, int]]:
+    def cut(self, words: list[bytes]) -> list[tuple[bytes, int, int]]:
         """The entries of distinct words; new ones are cut together."""
         new = [w for w in words if w not in self]
         if new:
@@ -84,7 +84,7 @@ class _Words(dict):
                 new = words
             plain = [w.decode("utf-8", "replace") for w in new]
             for w, text, ids in zip(new, plain, self.pieces.encode(plain, num_threads=1), strict=True):
-                self[w] = (ids, sum(i in self.byte for i in ids), len(self.bpe.encode_ordinary(f" {text}")))
+                self[w] = (np.array(ids, np.int32).tobytes(), sum(i in self.byte for i in ids), len(self.bpe.encode_ordinary(f" {text}")))
         return [self[w] for w in words]
 
 
@@ -134,9 +134,9 @@ def measured(found: list[bytes], langs: list[str | None], path: str, bands: dict
     split = [t.split() for t in found]
     at = {w: i for i, w in enumerate(dict.fromkeys(chain.from_iterable(split)))}
     entries = _words(path).cut(list(at))
-    size = np.fromiter((len(x[0]) for x in entries), np.int64, len(entries))
+    size = np.fromiter((len(x[0]) >> 2 for x in entries), np.int64, len(entries))
     start = np.cumsum(size) - size
-    flat = np.fromiter(chain.from_iterable(x[0] for x in entries), np.int64, int(size.sum()))
+    flat = np.frombuffer(b"".join(x[0] for x in entries), np.int32)
     n_bytes, n_bpe = (np.fromiter((x[i] for x in entries), np.int64, len(entries)) for i in (1, 2))
     out = []
     for text, words, lang in zip(found, split, langs, strict=True):

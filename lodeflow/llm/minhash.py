@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from lodeflow.llm.common import arrow_map, stored, texts
 
-CACHE = 1 << 20
+CACHE = 1 << 18
 
 
 class _Hashes(dict):
