@@ -88,7 +88,7 @@ def signature(items: np.ndarray, size: int) -> np.ndarray:
 
 def band_keys(signatures: np.ndarray, rows: int) -> np.ndarray:
     """For each signature a 64-bit key for each band, with the band's number in it."""
-    bands = signatures.reshape(len(signatures), -1, rows).astype(np.uint64)
+    bands = signatures.reshape(len(signatures), signatures.shape[1] // rows, rows).astype(np.uint64)
     key = np.broadcast_to(np.arange(1, bands.shape[1] + 1, dtype=np.uint64), bands.shape[:2])
     for i in range(rows):
         key = _mix64(key * np.uint64(0x9E3779B97F4A7C15) + bands[:, :, i])
