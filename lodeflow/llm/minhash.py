@@ -13,6 +13,7 @@ with the same id, are rows of their own; a component's id is the smallest id in
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import chain
 
 import numpy as np
@@ -100,6 +101,17 @@ def _ragged(parts: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*parts, np.empty(0, np.int64)]).view(np.int64)))
 
 
+PARITY = ("q0", "q1", "q2", "q3")
+
+
+def parity(items: np.ndarray) -> np.ndarray:
+    """256 bits: whether an odd number of items falls into each of as many buckets.
+
+    Where two sets' bits differ, at least one item is in one of them only.
+    """
+    return np.packbits((np.bincount((items & np.uint64(255)).astype(np.int64), minlength=256) & 1).astype(np.uint8)).view(np.int64)
+
+
 def _node(s: np.ndarray) -> bytes | None:
     return xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None
 
@@ -117,13 +129,14 @@ def signed(docs: DataFrame, *, words: int, bands: int, rows: int) -> DataFrame:
 
 
 def shingle_sets(docs: DataFrame, *, words: int) -> DataFrame:
-    """(node, items): the sets themselves."""
+    """(node, items, q0 .. q3): the sets themselves and their parity bits."""
 
     def f(b: pa.RecordBatch) -> pa.RecordBatch:
         sets = shingles(texts(b.column(0)), words)
-        return pa.RecordBatch.from_arrays([pa.array(map(_node, sets), pa.binary()), _ragged([s.view(np.int64) for s in sets])], ["node", "items"])
+        bits = np.array(list(map(parity, sets)), np.int64).reshape(-1, len(PARITY))
+        return pa.RecordBatch.from_arrays([pa.array(map(_node, sets), pa.binary()), _ragged([s.view(np.int64) for s in sets]), *(pa.array(bits[:, k]) for k in range(len(PARITY)))], ["node", "items", *PARITY])
 
-    return arrow_map(docs.select("text"), f, "node binary, items array<long>")
+    return arrow_map(docs.select("text"), f, f"node binary, items array<long>, {', '.join(f'{q} long' for q in PARITY)}")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -169,7 +182,7 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, bands
     known = cells.select("node").distinct()
     wanted = sig.join(known, "node", "left_semi").select(F.col("doc_id").alias("wanted")).distinct()
     sets = shingle_sets(docs.join(wanted, docs["doc_id"].cast("long").eqNullSafe(wanted["wanted"]), "left_semi"), words=words)
-    sets = stored(sets.join(known, "node", "left_semi").groupBy("node").agg(F.first("items").alias("items")))
+    sets = stored(sets.join(known, "node", "left_semi").groupBy("node").agg(F.first("items").alias("items"), *(F.first(q).alias(q) for q in PARITY)))
 
     stars = cells.select("node", F.explode(F.array_distinct(F.array("first", "last"))).alias("centre")).where("node <> centre")
     stars = stars.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
@@ -178,7 +191,8 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, bands
     cells = cells.join(at, "node", "left").select("key", "size", "node", "n", F.coalesce("label", "node").alias("label"))
     split = cells.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most").select("key")
     cells = stored(cells.join(split, "key", "left_semi"))
-    rest = _apart(cells.where(F.col("size") <= small).withColumns({"most": F.col("n"), "left": F.col("n")}), percent)
+    few = cells.where(F.col("size") <= small).withColumns({"most": F.col("n"), "left": F.col("n")})
+    rest = _apart(few.join(sets.select("node", *PARITY), "node"), percent)
     rest = rest.unionByName(_rare_first(cells.where(F.col("size") > small).select("node", "label", "n").distinct(), sets, percent))
     rest = stored(rest.distinct().join(stars, ["a", "b"], "left_anti"))
     at = components(at.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(confirmed(rest, sets, percent)))
@@ -193,15 +207,18 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, bands
 def _apart(cells: DataFrame, percent: int) -> DataFrame:
     """Pairs of nodes with the same key in different components whose overlap can be large enough.
 
-    most: how many items the node can share with another; left: how many of them from this key on. Members of a key's
-    largest component aren't joined with each other.
+    most: how many items the node can share with another; left: how many of them from this key on. Sets with more differing
+    parity bits than the similarity lets items differ are left out, too. Members of a key's largest component aren't joined
+    with each other.
     """
     top = cells.groupBy("key", "label").agg(F.count("*").alias("c")).groupBy("key").agg(F.max_by("label", F.struct("c", "label")).alias("top"), F.count("*").alias("labels")).where("labels > 1")
-    a = cells.join(top, "key").where("label <> top").select("key", "top", F.col("node").alias("x"), *(F.col(c).alias(f"{c}_a") for c in ("label", "n", "most", "left")))
-    b = cells.select(F.col("key").alias("key_b"), F.col("node").alias("y"), *(F.col(c).alias(f"{c}_b") for c in ("label", "n", "most", "left")))
+    a = cells.join(top, "key").where("label <> top").select("key", "top", F.col("node").alias("x"), *(F.col(c).alias(f"{c}_a") for c in ("label", "n", "most", "left", *PARITY)))
+    b = cells.select(F.col("key").alias("key_b"), F.col("node").alias("y"), *(F.col(c).alias(f"{c}_b") for c in ("label", "n", "most", "left", *PARITY)))
+    differ = reduce(lambda x, y: x + y, (F.bit_count(F.col(f"{q}_a").bitwiseXOR(F.col(f"{q}_b"))) for q in PARITY))
+    near = (100 + percent) * differ <= (100 - percent) * (F.col("n_a") + F.col("n_b"))
     shared = F.least("most_a", "most_b", "left_a", "left_b")
     met = (F.col("key") == F.col("key_b")) & (F.col("label_a") != F.col("label_b")) & ((F.col("x") < F.col("y")) | (F.col("label_b") == F.col("top")))
-    return a.join(b, met & (100 * shared >= percent * (F.col("n_a") + F.col("n_b") - shared))).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    return a.join(b, met & near & (100 * shared >= percent * (F.col("n_a") + F.col("n_b") - shared))).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
 def _rare_first(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -210,10 +227,11 @@ def _rare_first(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     Sets that reach the similarity share one of the first n - ceil(percent * n / 100) + 1 shingles of any common order, and the
     first that they share leaves room for the overlap they need. Shingles of one node only come first, and stay out of the join.
     """
-    own = nodes.join(sets, "node").select("node", "label", "n", F.explode("items").alias("item"))
+    own = nodes.join(sets.select("node", "items"), "node").select("node", "label", "n", F.explode("items").alias("item"))
     often = own.groupBy("item").agg(F.count("*").alias("df")).where("df > 1")
     ranked = own.join(often, "item").groupBy("node", "label", "n").agg(F.array_sort(F.collect_list(F.struct("df", "item"))).alias("x"))
     ranked = ranked.withColumn("most", F.size("x").cast("long")).where(100 * F.col("most") >= percent * F.col("n"))
     keep = F.expr(f"cast(n - ceil({percent} * n / 100d) + 1 - (n - most) as int)")
     front = ranked.select("node", "label", "n", "most", F.posexplode(F.slice(F.col("x"), F.lit(1), keep)).alias("at", "y"))
-    return _apart(front.select("node", "label", "n", "most", (F.col("most") - F.col("at")).alias("left"), F.col("y.item").alias("key")), percent)
+    front = front.select("node", "label", "n", "most", (F.col("most") - F.col("at")).alias("left"), F.col("y.item").alias("key"))
+    return _apart(front.join(sets.select("node", *PARITY), "node"), percent)
