@@ -36,13 +36,29 @@ def texts(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+_caches: list[dict] = []
+
+
+def sole(cache: dict) -> dict:
+    """``cache``, after the caches of other operators in this worker, which are not in use then, are emptied."""
+    for c in _caches:
+        if c is not cache:
+            c.clear()
+    _caches[:] = [cache]
+    return cache
+
+
 def pieces(batches: Iterator[pa.RecordBatch], rows: int = 1000, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
-    """Batches cut into slices of few rows and about ``most`` bytes; a single longer row is a slice of its own."""
+    """Batches cut into slices of few rows and about ``most`` bytes; a single longer row is a slice of its own.
+
+    Arrow's pool would keep the memory of all batches so far; after each batch it is given back.
+    """
     for b in batches:
         at, step = 0, max(1, min(rows, b.num_rows * most // max(1, b.nbytes)))
         while at < b.num_rows:
             yield b.slice(at, step)
             at += step
+        pa.default_memory_pool().release_unused()
 
 
 def arrow_map(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:

@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from lodeflow.llm.common import arrow_map, texts
+from lodeflow.llm.common import arrow_map, sole, texts
 
 TOKENIZERS = "/opt/tokenizers"
 SYMBOLS, SPACES, FOLLOWING = b"#*$%&|<>", b" \t\n\r\x0b\x0c", bytes(range(0x80, 0xC0))
@@ -133,7 +133,7 @@ def measured(found: list[bytes], langs: list[str | None], path: str, bands: dict
     """A tuple of FIELDS for each text."""
     split = [t.split() for t in found]
     at = {w: i for i, w in enumerate(dict.fromkeys(chain.from_iterable(split)))}
-    entries = _words(path).cut(list(at))
+    entries = sole(_words(path)).cut(list(at))
     size = np.fromiter((len(x[0]) >> 2 for x in entries), np.int64, len(entries))
     start = np.cumsum(size) - size
     flat = np.frombuffer(b"".join(x[0] for x in entries), np.int32)

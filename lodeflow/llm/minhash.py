@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodeflow.llm.common import arrow_map, stored, texts
+from lodeflow.llm.common import arrow_map, sole, stored, texts
 
 CACHE = 1 << 18
 
@@ -48,9 +48,9 @@ def _mix64(x: np.ndarray) -> np.ndarray:
 
 def shingles(found: list[bytes], words: int) -> list[np.ndarray]:
     """For each text the sorted distinct 64-bit hashes of its shingles; a shorter text is one shingle of its own kind."""
-    split = [t.lower().split() for t in found]
+    split, known = [t.lower().split() for t in found], sole(_hashes)
     ends = np.cumsum([0, *map(len, split)])
-    h = np.fromiter(map(_hashes.__getitem__, chain.from_iterable(split)), np.uint64, ends[-1])
+    h = np.fromiter(map(known.__getitem__, chain.from_iterable(split)), np.uint64, ends[-1])
     full = _mixed(h, words) if len(h) >= words else None
     out = []
     for s, e in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
