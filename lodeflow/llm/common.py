@@ -61,6 +61,15 @@ def pieces(batches: Iterator[pa.RecordBatch], rows: int = 1000, most: int = 1 <<
         pa.default_memory_pool().release_unused()
 
 
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def short_batches(spark: SparkSession, rows: int = 500) -> None:
+    """Let Spark send few rows at once to Python: texts are long. A session's own setting other than Spark's default stays."""
+    if spark.conf.get(BATCH_ROWS) == "10000":
+        spark.conf.set(BATCH_ROWS, str(rows))
+
+
 def arrow_map(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
     """``df.mapInArrow`` with ``f`` on small slices."""
 
@@ -68,4 +77,5 @@ def arrow_map(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch], sche
         for b in pieces(batches):
             yield f(b)
 
+    short_batches(df.sparkSession)
     return df.mapInArrow(run, schema)
