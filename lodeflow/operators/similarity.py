@@ -83,11 +83,14 @@ def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return out.where(F.col("jaccard") >= least)
 
 
-def lsh_pairs(sets: DataFrame, *, n_hashes: int = 30, n_bands: int = 10, least: float = 0.5) -> DataFrame:
-    """(a, b, jaccard): pairs of classes of equal sets that share a band and are similar enough, a < b.
+def lsh_pairs(sets: DataFrame, *, n_hashes: int | None = None, n_bands: int = 10, least: float = 0.5) -> DataFrame:
+    """(a, b, jaccard): pairs of classes of equal sets that are similar enough, a < b; all of them, by ``similar_pairs``.
 
-    Signatures are made inside the row; the exchange holds a key for each band. Copies are one row from the start.
+    With n_hashes only pairs that share a band are found, and some near ``least`` are missed. Signatures are made inside the
+    row; the exchange holds a key for each band. Copies are one row from the start.
     """
+    if n_hashes is None:
+        return similar_pairs(sets, least=least)
     reps = classes(sets)
     keys = reps.select("id", F.explode(banded(F.col("items"), n_hashes, n_bands)).alias("key"))
     other = keys.select(F.col("id").alias("b"), "key")

@@ -203,8 +203,8 @@ j AS (SELECT a, b, len(list_intersect(x.items, y.items)) AS i, len(x.items) AS n
 SELECT a, b, i::DOUBLE / (na + nb - i) AS jaccard FROM j WHERE i::DOUBLE / (na + nb - i) >= 0.5
 """)
 def lsh_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of classes of equal word sets; ``word_set_classes`` has the members."""
-    return similarity.lsh_pairs(similarity.word_sets(spread(T(spark, sf_dir, "documents")), "doc_id", "text"))
+    """Pairs of classes of equal word sets that share one of the SQL's bands; ``word_set_classes`` has the members."""
+    return similarity.lsh_pairs(similarity.word_sets(spread(T(spark, sf_dir, "documents")), "doc_id", "text"), n_hashes=30, n_bands=10)
 
 
 @query(f"WITH s AS ({_SETS}) SELECT id, min(id) OVER (PARTITION BY items) AS class FROM s WHERE len(items) > 0")

@@ -77,6 +77,11 @@ def test_similarity(spark):
     assert {(r.bands, r.rows) for r in similarity.s_curve_grid(spark).collect()} == {(b, r) for b in range(30, 51) for r in range(3, 8) if 1 - (1 - 0.5**r) ** b >= 0.8 and 1 - (1 - 0.4**r) ** b < 0.6}
 
 
+def test_lsh_pairs_misses_none(spark):
+    sets = spark.createDataFrame([(2 * i + j, sorted([f"x{i}", f"y{i}", f"{j}z{i}"])) for i in range(200) for j in (0, 1)], "id long, items array<string>")
+    assert set(rows(similarity.lsh_pairs(sets))) == {(2 * i, 2 * i + 1, 0.5) for i in range(200)}
+
+
 def test_enumeration(spark):
     assert rows(enumeration.permutations(spark, 3)) == [("AB", "C"), ("AC", "B"), ("BA", "C"), ("BC", "A"), ("CA", "B"), ("CB", "A")]
     h = lambda s: spark.range(1).select(F.sha2(F.lit(s), 256)).first()[0]
