@@ -26,6 +26,8 @@ IMPLIED = {
     "tr": (frozenset(["tr"]), frozenset(["table"])),
     "td": (frozenset(["td", "th"]), frozenset(["tr", "table"])),
     "th": (frozenset(["td", "th"]), frozenset(["tr", "table"])),
+    "option": (frozenset(["option"]), frozenset(["select", "datalist"])),
+    "optgroup": (frozenset(["option", "optgroup"]), frozenset(["select", "datalist"])),
     "body": (frozenset(["head"]), frozenset()),
 }
 DEEP = 16
@@ -63,6 +65,7 @@ def blocks(page: str) -> list[Block]:
     """
     out: list[Block] = []
     stack: list[tuple[str, tuple[str, ...]]] = []
+    places: dict[str, list[int]] = {}
     said: list[str] = []
     at = linked = links = skipped = 0
     end = len(page)
@@ -76,15 +79,22 @@ def blocks(page: str) -> list[Block]:
             said.clear()
         linked = 0
 
+    def push(tag: str, names: tuple[str, ...]) -> None:
+        places.setdefault(tag, []).append(len(stack))
+        stack.append((tag, names))
+
+    def last(*tags: str) -> int:
+        """The place of the innermost open element of these; -1 if there is none."""
+        return max((places[t][-1] for t in tags if places.get(t)), default=-1)
+
     def pop(wanted: frozenset[str], until: frozenset[str]) -> None:
         nonlocal skipped
-        for k in range(len(stack) - 1, max(-1, len(stack) - 200), -1):
-            if stack[k][0] in wanted:
-                skipped -= sum(t in SKIPPED for t, _ in stack[k:])
-                del stack[k:]
-                return
-            if stack[k][0] in until:
-                return
+        k = last(*wanted)
+        if k > last(*until):
+            for t, _ in stack[k:]:
+                places[t].pop()
+                skipped -= t in SKIPPED
+            del stack[k:]
 
     while at < end:
         m = TAG.search(page, at)
@@ -110,20 +120,19 @@ def blocks(page: str) -> list[Block]:
                 said.append(" ")
             continue
         if m[1]:
-            if any(t == tag for t, _ in stack[-200:]):
+            if places.get(tag):
                 close()
                 pop(frozenset([tag]), frozenset())
                 links = 0
             continue
         if skipped and tag not in IN_HEAD and stack[-1][0] == "head":
-            stack.pop()
-            skipped -= 1
+            pop(frozenset(["head"]), frozenset())
         if tag in RAW:
             at = _end_of(tag, page, at)
             continue
         if skipped and tag not in SKIPPED and tag not in IMPLIED:
-            if tag not in VOID:
-                stack.append((tag, ()))
+            if tag not in VOID and not (m[3].endswith("/") and last("svg", "math") > last("foreignobject")):
+                push(tag, ())
             continue
         close()
         if tag in CLOSES_P:
@@ -132,7 +141,7 @@ def blocks(page: str) -> list[Block]:
             pop(*IMPLIED[tag])
         if tag in VOID or m[3].endswith("/") and tag not in CLOSES_P and tag not in IMPLIED:
             continue
-        stack.append((tag, _names(tag, m[3])))
+        push(tag, _names(tag, m[3]))
         skipped += tag in SKIPPED
     close()
     return out

@@ -28,6 +28,14 @@ def test_blocks():
     assert said('<a "' * 20_000) == [] and len(said("<" * 20_000)) == 1
 
 
+def test_blocks_after_many_skipped_children():
+    assert said(f"<div>a<svg>{'<path d=x/>' * 500}<text>no</text></svg>b</div><p>c") == ["a", "b", "c"]
+    assert said(f"<div>a<svg>{'<g>' * 500}<circle></svg>b</div><p>c") == ["a", "b", "c"]
+    assert said(f"<div>a<select>{'<optgroup><option>no<option>no' * 500}</select>b</div><p>c") == ["a", "b", "c"]
+    assert said(f"<div>a<canvas>{'<span><section>no' * 500}</canvas>b</div><p>c") == ["a", "b", "c"]
+    assert said(f"<div>a<svg><foreignobject><div/>{'<path/>' * 300}</div></foreignobject></svg>b</div>c") == ["a", "b", "c"]
+
+
 def test_gradients():
     model = L.fresh(4)
     rng = np.random.default_rng(1)
