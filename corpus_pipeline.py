@@ -27,13 +27,20 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays, the one with the smallest id; shingles of five words, a similarity of 0.8.
 
-    Rows without an id stay; of rows that repeat an id and a text one stays.
+    Rows without an id stay; of rows that repeat an id and a text one stays. Where an id has several texts, each goes or stays
+    by itself.
     """
     out = minhash.near_duplicates(docs, words=5, percent=80, bands=32, rows=5)
     if not out.where("kept and node is not null").groupBy("doc_id", "node").count().where("count > 1").isEmpty():
         docs = docs.dropDuplicates(["doc_id", "text"])
     gone = out.where(~F.col("kept")).select(F.col("doc_id").alias("gone")).distinct()
-    return docs.join(gone, docs["doc_id"].cast("long") == gone["gone"], "left_anti")
+    left = docs.join(gone, docs["doc_id"].cast("long") == gone["gone"], "left_anti")
+    mixed = gone.join(out.where("kept").select("doc_id"), F.col("gone") == F.col("doc_id"), "left_semi")
+    if mixed.isEmpty():
+        return left
+    some = minhash.with_nodes(docs.join(mixed, docs["doc_id"].cast("long") == mixed["gone"], "left_semi"), words=5)
+    those = out.where(~F.col("kept")).select(F.col("doc_id").alias("gone"), F.col("node").alias("gone_node")).distinct()
+    return left.unionByName(some.join(those, (some["doc_id"].cast("long") == those["gone"]) & (some["node"] == those["gone_node"]), "left_anti").drop("node"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -21,6 +21,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from lodeflow.llm.common import arrow_map, sole, stored, texts
 
@@ -139,6 +140,16 @@ def shingle_sets(docs: DataFrame, *, words: int) -> DataFrame:
     return arrow_map(docs.select("text"), f, f"node binary, items array<long>, {', '.join(f'{q} long' for q in PARITY)}")
 
 
+def with_nodes(docs: DataFrame, *, words: int) -> DataFrame:
+    """``docs`` with node, the digest that near_duplicates gives its rows."""
+    at = docs.columns.index("text")
+
+    def f(b: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*b.columns, pa.array(map(_node, shingles(texts(b.column(at)), words)), pa.binary())], [*b.schema.names, "node"])
+
+    return arrow_map(docs, f, StructType([*docs.schema.fields, StructField("node", BinaryType())]))
+
+
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
     left = sets.select(F.col("node").alias("a"), F.col("items").alias("a_items"))

@@ -29,3 +29,9 @@ def test_stages_take_nulls_and_repeats(spark):
         assert out, name
     kept = cp.near_dedup(spark, odd.unionByName(odd), sf)
     assert sorted((r.doc_id or 0, r.text or "") for r in kept.collect()).count((2, "x y")) == 1
+
+
+def test_near_dedup_keeps_the_other_text_of_an_id(spark):
+    copy, own = "one two three four five six seven", "eight nine ten eleven twelve thirteen"
+    docs = spark.createDataFrame([(1, copy), (2, copy), (2, own), (2, ""), (3, copy), (4, "a b c d e f")], "doc_id long, text string")
+    assert sorted(map(tuple, cp.near_dedup(spark, docs, "").collect())) == [(1, copy), (2, ""), (2, own), (4, "a b c d e f")]
