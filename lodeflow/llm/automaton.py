@@ -237,7 +237,8 @@ def without_spans(text: str, runs: list[list[int]]) -> str:
 def cleaned(docs: DataFrame, benchmark: DataFrame, *, window: int = 13, most_percent: int = 50, most_words: int = 200_000) -> DataFrame:
     """``docs`` with every hit span taken out of its text; documents hit over more than ``most_percent`` of their words go.
 
-    Taking spans out can bring words of a window together; texts that were cut pass once more until none is hit.
+    Taking spans out can bring words of a window together; texts that were cut pass once more until none is hit. Each
+    round takes words out of every text that is left, so it ends.
     """
     own = docs.columns
     text = own.index("text")
@@ -251,10 +252,8 @@ def cleaned(docs: DataFrame, benchmark: DataFrame, *, window: int = 13, most_per
     found = stored(matched(docs, benchmark, window=window, most_words=most_words).where((n_hit == 0) | (100 * n_hit <= most_percent * F.col("bench_words"))))
     out = found.where(F.size("bench_runs") == 0).select(*own)
     hit = found.where(F.size("bench_runs") > 0)
-    for _ in range(20):
-        if hit.isEmpty():
-            return out
+    while not hit.isEmpty():
         found = stored(matched(hit.select(*own, "bench_runs").mapInArrow(cut, docs.schema), benchmark, window=window, most_words=most_words))
         out = out.unionByName(found.where(F.size("bench_runs") == 0).select(*own))
         hit = found.where(F.size("bench_runs") > 0)
-    return out.unionByName(hit.select(*own, "bench_runs").mapInArrow(cut, docs.schema))
+    return out

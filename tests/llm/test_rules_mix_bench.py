@@ -116,3 +116,12 @@ def test_decontamination(spark):
     docs = [(1, "keep this. " + long_items[0][1] + ", and that " + " ".join(f"x{k}" for k in range(40))), (2, "clean words"), (3, long_items[0][1]), (4, None)]
     out = {r.doc_id: r.text for r in automaton.cleaned(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(long_items, "item_id long, text string")).collect()}
     assert out == {1: "keep this. , and that " + " ".join(f"x{k}" for k in range(40)), 2: "clean words", 4: None}
+
+
+def test_cleaned_takes_out_deeply_nested_passages(spark):
+    nested = "a b c"
+    for _ in range(24):
+        nested = f"a {nested} b c"
+    docs = spark.createDataFrame([(1, f"keep {nested} this")], "doc_id long, text string")
+    out = automaton.cleaned(docs, spark.createDataFrame([(1, "a b c")], "item_id long, text string"), window=3)
+    assert [r.text.split() for r in out.collect()] == [["keep", "this"]]
