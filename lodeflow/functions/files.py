@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodeflow.functions.shared import removed  # noqa: F401  (part of this module's surface)
+
 
 def cat(spark: SparkSession, path: str) -> DataFrame:
     """The lines of a file."""
@@ -20,12 +22,6 @@ def listed(spark: SparkSession, paths: list[str]) -> DataFrame:
     return spark.createDataFrame(rows, "path string, length long, modified long").withColumn("modified", F.timestamp_millis("modified"))
 
 
-def removed(spark: SparkSession, path: str) -> bool:
-    """Delete a path and all below it."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-
-
 def settings(spark: SparkSession) -> DataFrame:
     """(key, value) of the session's settings."""
     return spark.createDataFrame(sorted(spark.conf.getAll.items()), "key string, value string")

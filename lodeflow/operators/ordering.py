@@ -9,18 +9,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodeflow.functions.shared import stored
+from lodeflow.functions.shared import free_name, stored
 
 
 def positions(df: DataFrame, key: str, order: list[str], *, as_name: str = "position", size: str | None = None) -> DataFrame:
-    """``df`` with each row's place (from 1) within its key; ``size`` names a column for the key's number of rows."""
-    ranged = stored(df.repartitionByRange(key, *order).withColumn("_part", F.spark_partition_id()))
-    parts = ranged.groupBy(F.col(key).alias("_k"), F.col("_part").alias("_p")).agg(F.count("*").alias("_n"))
-    before = Window.partitionBy("_k").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.select("_k", "_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"), F.sum("_n").over(Window.partitionBy("_k")).alias("_all"))
-    own = F.row_number().over(Window.partitionBy(key, "_part").orderBy(*order))
-    out = ranged.withColumn("_own", own).join(parts, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_part") == F.col("_p")))
-    return out.select(*df.columns, (F.col("_own") + F.col("_before")).cast("long").alias(as_name), *([F.col("_all").alias(size)] if size else []))
+    """``df`` with each row's place (from 1) within its key; ``size`` names a column for the key's number of rows.
+
+    Helper columns get names that ``df`` doesn't have; a column named as the result is replaced.
+    """
+    part, own = free_name(df.columns, "part"), free_name(df.columns, "own")
+    k, p, n, before, every = (free_name([*df.columns, part, own], c) for c in ("k", "p", "n", "before", "every"))
+    ranged = stored(df.repartitionByRange(key, *order).withColumn(part, F.spark_partition_id()))
+    parts = ranged.groupBy(F.col(key).alias(k), F.col(part).alias(p)).agg(F.count("*").alias(n))
+    earlier = Window.partitionBy(k).orderBy(p).rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select(k, p, F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(before), F.sum(n).over(Window.partitionBy(k)).alias(every))
+    at = F.row_number().over(Window.partitionBy(key, part).orderBy(*order))
+    out = ranged.withColumn(own, at).join(parts, F.col(key).eqNullSafe(F.col(k)) & (F.col(part) == F.col(p)))
+    named = {as_name.lower(), (size or as_name).lower()}
+    return out.select(*(c for c in df.columns if c.lower() not in named), (F.col(own) + F.col(before)).cast("long").alias(as_name), *([F.col(every).alias(size)] if size else []))
 
 
 def secondary_sort(df: DataFrame, key: str, order: list[str]) -> DataFrame:
