@@ -2,51 +2,46 @@
 
 from __future__ import annotations
 
-import uuid
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
+from lodeflow.functions.shared import free_name, removed, shared_dir, stored, workspace  # noqa: F401  (for the operators here)
+
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder name below ``spark.checkpoint.dir``, which driver and executors share; one in the warehouse where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/checkpoints"
-    return f"{root.rstrip('/')}/lodeflow-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """``df`` written as Parquet in the shared folder and read again: lineage ends there and a lost executor costs nothing."""
-    path = shared_dir(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a written folder through Hadoop's file systems."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def texts(column: pa.Array) -> list[bytes]:
     """A string column as UTF-8 bytes; null is empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
-_caches: list[dict] = []
+_held: list = []
 
 
-def sole(cache: dict) -> dict:
-    """``cache``, after the caches of other operators in this worker, which are not in use then, are emptied."""
-    for c in _caches:
-        if c is not cache:
-            c.clear()
-    _caches[:] = [cache]
-    return cache
+def sole[T](held: T) -> T:
+    """``held``, what an operator keeps in a worker from batch to batch, after all that other operators keep is released.
+
+    A worker serves one operator after another; what is freed goes back to the system.
+    """
+    if not any(h is held for h in _held):
+        for h in _held:
+            h.release()
+        _held[:] = [held]
+        given_back()
+    return held
+
+
+def given_back() -> None:
+    """Let the C library return free memory, where it can."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
 def pieces(batches: Iterator[pa.RecordBatch], rows: int = 1000, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
@@ -66,7 +61,11 @@ BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def short_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Let Spark send few rows at once to Python: texts are long. A session's own setting other than Spark's default stays."""
+    """Let a session send few rows at once to Python: texts are long.
+
+    For an application to call (the queries and the pipeline do); operators leave the session's settings alone. A setting other
+    than Spark's default stays.
+    """
     if spark.conf.get(BATCH_ROWS) == "10000":
         spark.conf.set(BATCH_ROWS, str(rows))
 
@@ -78,5 +77,4 @@ def arrow_map(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch], sche
         for b in pieces(batches):
             yield f(b)
 
-    short_batches(df.sparkSession)
     return df.mapInArrow(run, schema)

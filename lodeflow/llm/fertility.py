@@ -25,18 +25,21 @@ from lodeflow.llm.common import arrow_map, sole, texts
 
 TOKENIZERS = "/opt/tokenizers"
 SYMBOLS, SPACES, FOLLOWING = b"#*$%&|<>", b" \t\n\r\x0b\x0c", bytes(range(0x80, 0xC0))
-CACHE = 1 << 18
+CACHE, CACHE_BYTES = 1 << 17, 1 << 23
 
 
 @dataclass(frozen=True)
 class Band:
-    """Limits of a text that is kept; entropy counts from ``entropy_from`` tokens on, where it no longer hangs on the length."""
+    """Limits of a text that is kept, whatever its length."""
 
     pieces: tuple[float, float] = (1.0, 12.0)
     byte_level: tuple[float, float] = (1.0, 12.0)
     byte_share: float = 0.2
     entropy: tuple[float, float] = (3.0, 14.0)
-    entropy_from: int = 100
+
+    def holds(self, per_piece: float, per_byte_level: float, byte_share: float, entropy: float) -> bool:
+        inside = ((self.pieces, per_piece), (self.byte_level, per_byte_level), ((0.0, self.byte_share), byte_share), (self.entropy, entropy))
+        return all(low <= x <= high for (low, high), x in inside)
 
 
 BANDS: dict[str, Band] = {
@@ -61,31 +64,63 @@ def script(text: str) -> str:
     return max(n, key=n.get) if any(n.values()) else "other"
 
 
-class _Words(dict):
-    """word -> (piece ids in 32 bits each, number of byte pieces, number of byte-level tokens), for a bounded number of words."""
+class _Words:
+    """Words cut once: their piece ids one after another, and for each word where they start, how many there are, how many of
+    them are bytes and the number of byte-level tokens. Bounded by ``CACHE`` words and ``CACHE_BYTES`` of words and pieces."""
 
     def __init__(self, path: str) -> None:
+        self.path, self.models = path, None
+        self.clear()
+
+    def clear(self) -> None:
+        self.at: dict[bytes, int] = {}
+        self.bytes = self.end = 0
+        self.flat = np.empty(1 << 12, np.int32)
+        self.figures = np.empty((4, 1 << 10), np.int32)
+
+    def release(self) -> None:
+        self.clear()
+        self.models = None
+
+    def _load(self) -> tuple:
         import sentencepiece
         import tiktoken
 
-        self.pieces = sentencepiece.SentencePieceProcessor(model_file=f"{path}/piece_bpe_32k.model")
-        self.byte = frozenset(i for i in range(self.pieces.get_piece_size()) if self.pieces.is_byte(i))
-        with open(f"{path}/byte_bpe_multi_50k.tiktoken", "rb") as f:
+        pieces = sentencepiece.SentencePieceProcessor(model_file=f"{self.path}/piece_bpe_32k.model")
+        of_bytes = np.array([pieces.is_byte(i) for i in range(pieces.get_piece_size())])
+        with open(f"{self.path}/byte_bpe_multi_50k.tiktoken", "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         pattern = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-        self.bpe = tiktoken.Encoding("words", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-
-    def cut(self, words: list[bytes]) -> list[tuple[bytes, int, int]]:
-        """The entries of distinct words; new ones are cut together."""
-        new = [w for w in words if w not in self]
-        if new:
-            if len(self) + len(new) > CACHE:
-                self.clear()
-                new = words
-            plain = [w.decode("utf-8", "replace") for w in new]
-            for w, text, ids in zip(new, plain, self.pieces.encode(plain, num_threads=1), strict=True):
-                self[w] = (np.array(ids, np.int32).tobytes(), sum(i in self.byte for i in ids), len(self.bpe.encode_ordinary(f" {text}")))
-        return [self[w] for w in words]
+        return pieces, of_bytes, tiktoken.Encoding("words", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+
+    def learn(self, words: set[bytes]) -> None:
+        """Cut those of the words that aren't known; only the words of this call are sure to be known afterwards."""
+        new = words - self.at.keys()
+        if not new:
+            return
+        if self.at and (len(self.at) + len(new) > CACHE or self.bytes > CACHE_BYTES):
+            self.clear()
+            new = words
+        if self.models is None:
+            self.models = self._load()
+        pieces, of_bytes, bpe = self.models
+        plain = [w.decode("utf-8", "replace") for w in new]
+        cut = pieces.encode(plain, num_threads=1)
+        sizes = np.fromiter(map(len, cut), np.int32, len(cut))
+        ends = np.cumsum(sizes)
+        ids = np.fromiter(chain.from_iterable(cut), np.int32, int(ends[-1]))
+        n_bytes = np.concatenate(([0], np.cumsum(of_bytes[ids])))
+        level = np.fromiter((len(bpe.encode_ordinary(f" {t}")) for t in plain), np.int32, len(plain))
+        n, k = len(self.at), len(new)
+        if self.end + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat[: self.end], np.empty(self.end + len(ids), np.int32)])
+        if n + k > self.figures.shape[1]:
+            self.figures = np.concatenate([self.figures[:, :n], np.empty((4, n + k), np.int32)], axis=1)
+        self.flat[self.end : self.end + len(ids)] = ids
+        self.figures[:, n : n + k] = self.end + ends - sizes, sizes, n_bytes[ends] - n_bytes[ends - sizes], level
+        self.end += len(ids)
+        self.at.update(zip(new, range(n, n + k), strict=True))
+        self.bytes += sum(map(len, new)) + 4 * len(ids)
 
 
 @lru_cache(1)
@@ -132,19 +167,17 @@ _TYPES = {"long": pa.int64(), "boolean": pa.bool_(), "double": pa.float64()}
 def measured(found: list[bytes], langs: list[str | None], path: str, bands: dict[str, Band]) -> list[tuple]:
     """A tuple of FIELDS for each text."""
     split = [t.split() for t in found]
-    at = {w: i for i, w in enumerate(dict.fromkeys(chain.from_iterable(split)))}
-    entries = sole(_words(path)).cut(list(at))
-    size = np.fromiter((len(x[0]) >> 2 for x in entries), np.int64, len(entries))
-    start = np.cumsum(size) - size
-    flat = np.frombuffer(b"".join(x[0] for x in entries), np.int32)
-    n_bytes, n_bpe = (np.fromiter((x[i] for x in entries), np.int64, len(entries)) for i in (1, 2))
+    known = sole(_words(path))
+    known.learn(set(chain.from_iterable(split)))
+    place, flat = known.at.__getitem__, known.flat
+    start, size, n_bytes, n_bpe = known.figures
     out = []
     for text, words, lang in zip(found, split, langs, strict=True):
-        ids = np.fromiter(map(at.__getitem__, words), np.int64, len(words))
+        ids = np.fromiter(map(place, words), np.int64, len(words))
         chars, symbols = len(text.translate(None, SPACES + FOLLOWING)), len(text) - len(text.translate(None, SYMBOLS))
         repeat = repeated(ids)
         own, times = np.unique(ids, return_counts=True)
-        length = size[own]
+        length = size[own].astype(np.int64)
         n, bpe = int(np.dot(length, times)), int(np.dot(n_bpe[own], times))
         ends = np.cumsum(length)
         pieces = flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(start[own] - ends + length, length)]
@@ -153,10 +186,7 @@ def measured(found: list[bytes], langs: list[str | None], path: str, bands: dict
         entropy = math.log2(n) - float(np.dot(each, np.log2(each))) / n if n else 0.0
         per, level, share = (chars / n, chars / bpe, float(np.dot(n_bytes[own], times)) / n) if n and bpe else (0.0, 0.0, 0.0)
         failed = len(words) < 50 or 100 * repeat > 50 * len(words)
-        kept = not failed
-        if kept:
-            band = bands.get(lang or "") or bands[script(text.decode("utf-8", "replace"))]
-            kept = band.pieces[0] <= per <= band.pieces[1] and band.byte_level[0] <= level <= band.byte_level[1] and share <= band.byte_share and (n < band.entropy_from or band.entropy[0] <= entropy <= band.entropy[1])
+        kept = not failed and (bands.get(lang or "") or bands[script(text.decode("utf-8", "replace"))]).holds(per, level, share, entropy)
         out.append((len(words), chars, symbols, duplicate_lines(text), repeat, failed, kept, n, per, level, share, entropy))
     return out
 

@@ -25,7 +25,7 @@ from pyspark.sql.types import BinaryType, StructField, StructType
 
 from lodeflow.llm.common import arrow_map, sole, stored, texts
 
-CACHE = 1 << 18
+CACHE = 1 << 16
 
 
 class _Hashes(dict):
@@ -37,6 +37,8 @@ class _Hashes(dict):
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h
 
+    release = dict.clear
+
 
 _hashes = _Hashes()
 
