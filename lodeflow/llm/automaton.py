@@ -9,21 +9,25 @@ The items are the only data that is broadcast. Their words are counted first: be
 below that bound and the texts pass through one automaton after another, so the result is the same at any size.
 
 Defined cases: null texts and items have no words; an item without words has no window; repeated items and rows count each
-for themselves; a null item id is left out of the list of ids; other columns pass through.
+for themselves; a null item id is left out of the list of ids; an empty table of texts gives no rows, and without items nothing
+is hit; very long texts stream through in one piece, in time linear in their words; other columns pass through, whatever their
+names.
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from lodeflow.llm.common import pieces, stored, texts
+from lodeflow.llm.common import arrow_map, free_name, pieces, stored, texts
 
 _PLAIN = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 _WORD = re.compile("[0-9A-Za-z\x80-\U0010ffff]+")
@@ -163,7 +167,7 @@ def automata(benchmark: DataFrame, window: int, most_words: int) -> Iterator[Aut
     """Automata of all items, each of at most about ``most_words`` words."""
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("text is not null")
     total = items.agg(F.sum(F.size(F.split("text", "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+")))).first()[0] or 0
-    parts = -(-total // most_words)
+    parts = max(1, -(-total // most_words))
     for k in range(parts):
         own = items.where(F.pmod(F.xxhash64("text"), F.lit(parts)) == k) if parts > 1 else items
         yield Automaton([(r[0], words(r[1].encode())) for r in own.collect()], window)
@@ -179,11 +183,12 @@ def _merged(runs: list[list[int]]) -> list[list[int]]:
     return out
 
 
-def matched(docs: DataFrame, benchmark: DataFrame, *, window: int = 13, most_words: int = 200_000) -> DataFrame:
-    """``docs`` with bench_words (number of words), bench_runs (hit stretches [start, end) of words) and bench_items (ids)."""
-    own = [c for c in docs.columns if c not in ("bench_words", "bench_runs", "bench_items")]
-    out, text = docs.select(*own), own.index("text")
-    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in out.schema)}, bench_words long, bench_runs array<array<long>>, bench_items array<string>"
+def _matching(docs: DataFrame, benchmark: DataFrame, text: str, name: str, *, window: int, most_words: int) -> DataFrame:
+    """``docs`` with a struct ``name``: words (their number), runs (hit stretches [start, end) of words) and items (ids)."""
+    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.StructType.fromDDL("words long, runs array<array<long>>, items array<string>"))])
+    kind = pa.struct([("words", pa.int64()), ("runs", pa.list_(pa.list_(pa.int64()))), ("items", pa.list_(pa.string()))])
+    own, out = docs.columns, docs
+    at, width = own.index(text), len(own)
     for k, made in enumerate(automata(benchmark, window, most_words)):
         if k:
             out = stored(out)
@@ -191,25 +196,26 @@ def matched(docs: DataFrame, benchmark: DataFrame, *, window: int = 13, most_wor
 
         def f(batches: Iterator[pa.RecordBatch], k: int = k, shared=shared) -> Iterator[pa.RecordBatch]:
             for b in pieces(batches):
-                found = shared.value.match(texts(b.column(text)))
+                found = shared.value.match(texts(b.column(at)))
                 if k:
-                    runs = [_merged([*map(list, a), *m[1]]) for a, m in zip(b.column(len(own) + 1).to_pylist(), found, strict=True)]
-                    names = [sorted({*a, *m[2]}) for a, m in zip(b.column(len(own) + 2).to_pylist(), found, strict=True)]
-                else:
-                    runs, names = [m[1] for m in found], [sorted(m[2]) for m in found]
-                yield pa.RecordBatch.from_arrays([*b.columns[: len(own)], pa.array([m[0] for m in found], pa.int64()), pa.array(runs, pa.list_(pa.list_(pa.int64()))), pa.array(names, pa.list_(pa.string()))], [*own, "bench_words", "bench_runs", "bench_items"])
+                    before = b.column(width).to_pylist()
+                    found = [(n, _merged([*x["runs"], *runs]), names.union(x["items"])) for (n, runs, names), x in zip(found, before, strict=True)]
+                rows = pa.array([{"words": n, "runs": runs, "items": sorted(names)} for n, runs, names in found], kind)
+                yield pa.RecordBatch.from_arrays([*b.columns[:width], rows], [*own, name])
 
         out = out.mapInArrow(f, schema)
-    if len(out.columns) == len(own):  # no items at all
-        shared = Automaton([], window)
+    return out
 
-        def none(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in pieces(batches):
-                found = shared.match(texts(b.column(text)))
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array([m[0] for m in found], pa.int64()), pa.array([[]] * len(found), pa.list_(pa.list_(pa.int64()))), pa.array([[]] * len(found), pa.list_(pa.string()))], [*own, "bench_words", "bench_runs", "bench_items"])
 
-        out = out.mapInArrow(none, schema)
-    return out
+def matched(docs: DataFrame, benchmark: DataFrame, *, window: int = 13, most_words: int = 200_000) -> DataFrame:
+    """``docs`` with bench_words (number of words), bench_runs (hit stretches [start, end) of words) and bench_items (ids).
+
+    Columns of these names that ``docs`` has are replaced.
+    """
+    own = [c for c in docs.columns if c.lower() not in ("bench_words", "bench_runs", "bench_items")]
+    name = free_name(own, "found")
+    out = _matching(docs.select(*own), benchmark, "text", name, window=window, most_words=most_words)
+    return out.select(*own, *(F.col(f"{name}.{c}").alias(f"bench_{c}") for c in ("words", "runs", "items")))
 
 
 def report(docs: DataFrame, benchmark: DataFrame, *, window: int = 13, percent: int = 5, most_words: int = 200_000) -> DataFrame:
@@ -234,26 +240,54 @@ def without_spans(text: str, runs: list[list[int]]) -> str:
     return "".join([*out, text[at:]])
 
 
+def purged(made: Automaton, text: str | None, most_percent: int) -> tuple[bool, str | None]:
+    """Whether a text stays, and what is left of it when its hit spans are taken out until none is hit."""
+    n, runs, _ = made.match([(text or "").encode()])[0]
+    if 100 * sum(b - a for a, b in runs) > most_percent * n:
+        return False, None
+    while runs:
+        text = without_spans(text, runs)
+        runs = made.match([text.encode()])[0][1]
+    return True, text
+
+
 def cleaned(docs: DataFrame, benchmark: DataFrame, *, window: int = 13, most_percent: int = 50, most_words: int = 200_000) -> DataFrame:
     """``docs`` with every hit span taken out of its text; documents hit over more than ``most_percent`` of their words go.
 
-    Taking spans out can bring words of a window together; texts that were cut pass once more until none is hit. Each
-    round takes words out of every text that is left, so it ends.
+    Taking spans out can bring words of a window together, so a text is matched again until none is hit; each turn takes words
+    out, so it ends. With one automaton that happens in the worker, in one pass over the rows. Where the items need several,
+    texts that were cut pass all of them again.
     """
+    made = list(islice(automata(benchmark, window, most_words), 2))
     own = docs.columns
-    text = own.index("text")
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in pieces(batches):
-            b_text = pa.array([t if t is None else without_spans(t, r) for t, r in zip(b.column(text).to_pylist(), b.column(len(own)).to_pylist(), strict=True)], b.column(text).type)
-            yield pa.RecordBatch.from_arrays([b_text if i == text else b.column(i) for i in range(len(own))], own)
-
-    n_hit = F.aggregate("bench_runs", F.lit(0).cast("long"), lambda n, r: n + r[1] - r[0])
-    found = stored(matched(docs, benchmark, window=window, most_words=most_words).where((n_hit == 0) | (100 * n_hit <= most_percent * F.col("bench_words"))))
-    out = found.where(F.size("bench_runs") == 0).select(*own)
-    hit = found.where(F.size("bench_runs") > 0)
-    while not hit.isEmpty():
-        found = stored(matched(hit.select(*own, "bench_runs").mapInArrow(cut, docs.schema), benchmark, window=window, most_words=most_words))
-        out = out.unionByName(found.where(F.size("bench_runs") == 0).select(*own))
-        hit = found.where(F.size("bench_runs") > 0)
+    at = own.index("text")
+    if len(made) == 1:
+        shared = docs.sparkSession.sparkContext.broadcast(made[0])
+
+        def f(b: pa.RecordBatch) -> pa.RecordBatch:
+            found = shared.value.match(texts(b.column(at)))
+            if not any(runs for _, runs, _ in found):
+                return b
+            rows = [purged(shared.value, t, most_percent) if runs else (True, t) for t, (_, runs, _) in zip(b.column(at).to_pylist(), found, strict=True)]
+            new = pa.array([t for _, t in rows], b.column(at).type)
+            return pa.RecordBatch.from_arrays([new if i == at else c for i, c in enumerate(b.columns)], own).filter(pa.array([k for k, _ in rows]))
+
+        return arrow_map(docs, f, docs.schema)
+
+    name = free_name(docs.columns, "found")
+    match = lambda df: stored(_matching(df, benchmark, "text", name, window=window, most_words=most_words))
+
+    def cut(b: pa.RecordBatch) -> pa.RecordBatch:
+        runs = pc.struct_field(b.column(len(own)), "runs").to_pylist()
+        new = pa.array([t if t is None else without_spans(t, r) for t, r in zip(b.column(at).to_pylist(), runs, strict=True)], b.column(at).type)
+        return pa.RecordBatch.from_arrays([new if i == at else b.column(i) for i in range(len(own))], own)
+
+    n_hit, hit = F.aggregate(F.col(f"{name}.runs"), F.lit(0).cast("long"), lambda n, r: n + r[1] - r[0]), F.size(f"{name}.runs") > 0
+    found = match(docs).where(100 * n_hit <= most_percent * F.col(f"{name}.words"))
+    out = found.where(~hit).drop(name)
+    left = found.where(hit)
+    while not left.isEmpty():
+        found = match(arrow_map(left, cut, docs.schema))
+        out = out.unionByName(found.where(~hit).drop(name))
+        left = found.where(hit)
     return out
