@@ -8,7 +8,8 @@ with rare shingles first (and bounds on the overlap) leaves, which is exact.
 
 Defined cases: a null or wordless text has no shingles, links with nothing and is its own component. Rows that repeat, even
 with the same id, are rows of their own; a component's id is the smallest id in it, and nulls count only where no id is there
-(then the id is null and no row is kept). Other columns are ignored.
+(then the id is null and no row is kept). A very long text is one row like any other: its shingles are hashed in place, its
+signature is made in parts. An empty table gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -142,14 +143,14 @@ def shingle_sets(docs: DataFrame, *, words: int) -> DataFrame:
     return arrow_map(docs.select("text"), f, f"node binary, items array<long>, {', '.join(f'{q} long' for q in PARITY)}")
 
 
-def with_nodes(docs: DataFrame, *, words: int) -> DataFrame:
-    """``docs`` with node, the digest that near_duplicates gives its rows."""
+def with_nodes(docs: DataFrame, *, words: int, name: str = "node") -> DataFrame:
+    """``docs`` with ``name``, the digest that near_duplicates gives its rows."""
     at = docs.columns.index("text")
 
     def f(b: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([*b.columns, pa.array(map(_node, shingles(texts(b.column(at)), words)), pa.binary())], [*b.schema.names, "node"])
+        return pa.RecordBatch.from_arrays([*b.columns, pa.array(map(_node, shingles(texts(b.column(at)), words)), pa.binary())], [*b.schema.names, name])
 
-    return arrow_map(docs, f, StructType([*docs.schema.fields, StructField("node", BinaryType())]))
+    return arrow_map(docs, f, StructType([*docs.schema.fields, StructField(name, BinaryType())]))
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -160,11 +161,14 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "b").join(left, "a").join(right, "b").where(100 * n >= percent * (F.size("a_items") + F.size("b_items") - n)).select("a", "b")
 
 
-def components(edges: DataFrame, nodes: DataFrame | None = None, *, most_rounds: int = 50) -> DataFrame:
-    """(node, label): the smallest node of each node's component, by alternating large and small stars (Kiveris and others, 2014)."""
+def components(edges: DataFrame) -> DataFrame:
+    """(node, label): the smallest node of each node's component, by alternating large and small stars (Kiveris and others, 2014).
+
+    The turns end when the edges stay the same, which they do: each turn only lowers the neighbours of the nodes.
+    """
     e = stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     before = None
-    for _ in range(most_rounds):
+    while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
@@ -181,7 +185,7 @@ def components(edges: DataFrame, nodes: DataFrame | None = None, *, most_rounds:
 
 
 def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, bands: int = 32, rows: int = 5, small: int = 16) -> DataFrame:
-    """(doc_id, node, n_shingles, component_id, kept) for each row of (doc_id, text).
+    """(doc_id, node, n_shingles, component, component_id, kept) for each row of (doc_id, text); component is its least node.
 
     Linked are rows with 100 * |intersection| >= percent * |union|, whatever the size of a group. A pair at the limit itself
     is missed by all bands with a chance of (1 - (percent / 100) ** rows) ** bands, 3e-6 with the defaults.
@@ -211,26 +215,36 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, bands
     at = components(at.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(confirmed(rest, sets, percent)))
 
     ids = classes.select("node", "rep").join(at, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    ids = ids.join(ids.groupBy("label").agg(F.min("rep").alias("component_id")), "label").select("node", "component_id")
+    ids = ids.join(ids.groupBy("label").agg(F.min("rep").alias("component_id")), "label").select("node", F.col("label").alias("component"), "component_id")
     out = sig.select("doc_id", "node", "n_shingles").join(ids, "node", "left")
     out = out.withColumn("component_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
-    return out.select("doc_id", "node", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
+    return out.select("doc_id", "node", "n_shingles", "component", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
+
+
+#: Members of a key that one task compares at most with those outside its largest component; a key with more is dealt into salts.
+CROWD = 1024
 
 
 def _apart(cells: DataFrame, percent: int) -> DataFrame:
     """Pairs of nodes with the same key in different components whose overlap can be large enough.
 
-    most: how many items the node can share with another; left: how many of them from this key on. Sets with more differing
-    parity bits than the similarity lets items differ are left out, too. Members of a key's largest component aren't joined
-    with each other.
+    size: how many nodes have the key; most: how many items the node can share with another; left: how many of them from this
+    key on. Sets with more differing parity bits than the similarity lets items differ are left out, too. Members of a key's
+    largest component aren't joined with each other. The members of a key with many nodes are dealt by salts, and only those
+    outside the largest component are repeated for each salt.
     """
-    top = cells.groupBy("key", "label").agg(F.count("*").alias("c")).groupBy("key").agg(F.max_by("label", F.struct("c", "label")).alias("top"), F.count("*").alias("labels")).where("labels > 1")
-    a = cells.join(top, "key").where("label <> top").select("key", "top", F.col("node").alias("x"), *(F.col(c).alias(f"{c}_a") for c in ("label", "n", "most", "left", *PARITY)))
-    b = cells.select(F.col("key").alias("key_b"), F.col("node").alias("y"), *(F.col(c).alias(f"{c}_b") for c in ("label", "n", "most", "left", *PARITY)))
+    salts = F.ceil(F.col("size") / CROWD).cast("int")
+    cells = cells.withColumn("salt", F.pmod(F.xxhash64("node"), salts).cast("int"))
+    top = cells.groupBy("key", "label").agg(F.count("*").alias("c"), F.first(salts).alias("salts"))
+    top = top.groupBy("key").agg(F.max_by("label", F.struct("c", "label")).alias("top"), F.count("*").alias("labels"), F.max("salts").alias("salts")).where("labels > 1")
+    top = top.select("key", "top", "salts", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    a = cells.join(top, ["key", "salt"]).where("label <> top")
+    a = a.select("key", "top", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("node").alias("x"), *(F.col(c).alias(f"{c}_a") for c in ("label", "n", "most", "left", *PARITY)))
+    b = cells.select(F.col("key").alias("key_b"), F.col("salt").alias("salt_b"), F.col("node").alias("y"), *(F.col(c).alias(f"{c}_b") for c in ("label", "n", "most", "left", *PARITY)))
     differ = reduce(lambda x, y: x + y, (F.bit_count(F.col(f"{q}_a").bitwiseXOR(F.col(f"{q}_b"))) for q in PARITY))
     near = (100 + percent) * differ <= (100 - percent) * (F.col("n_a") + F.col("n_b"))
     shared = F.least("most_a", "most_b", "left_a", "left_b")
-    met = (F.col("key") == F.col("key_b")) & (F.col("label_a") != F.col("label_b")) & ((F.col("x") < F.col("y")) | (F.col("label_b") == F.col("top")))
+    met = (F.col("key") == F.col("key_b")) & (F.col("salt") == F.col("salt_b")) & (F.col("label_a") != F.col("label_b")) & ((F.col("x") < F.col("y")) | (F.col("label_b") == F.col("top")))
     return a.join(b, met & near & (100 * shared >= percent * (F.col("n_a") + F.col("n_b") - shared))).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
@@ -246,5 +260,5 @@ def _rare_first(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     ranked = ranked.withColumn("most", F.size("x").cast("long")).where(100 * F.col("most") >= percent * F.col("n"))
     keep = F.expr(f"cast(n - ceil({percent} * n / 100d) + 1 - (n - most) as int)")
     front = ranked.select("node", "label", "n", "most", F.posexplode(F.slice(F.col("x"), F.lit(1), keep)).alias("at", "y"))
-    front = front.select("node", "label", "n", "most", (F.col("most") - F.col("at")).alias("left"), F.col("y.item").alias("key"))
+    front = front.select("node", "label", "n", "most", (F.col("most") - F.col("at")).alias("left"), F.col("y.item").alias("key"), F.col("y.df").alias("size"))
     return _apart(front.join(sets.select("node", *PARITY), "node"), percent)

@@ -8,40 +8,48 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lodeflow.functions.tables import table
 from lodeflow.llm import automaton, chat, crf, fertility, labeller, minhash, mixing, pii, unigram, warc
+from lodeflow.llm.common import short_batches
+
+
+def texts_of(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of long texts; the session sends few of its rows at once to Python."""
+    short_batches(spark)
+    return table(spark, sf_dir, name)
+
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def op1_cube_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many words the mix takes of each document: weights 5, 2, 1 by source, 150 % of all words, twice a document at most."""
-    return mixing.mixed(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.mixed(texts_of(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op2_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A quality score of every document; labels of documents that aren't held out fit the model."""
-    docs = table(spark, sf_dir, "documents")
+    docs = texts_of(spark, sf_dir, "documents")
     return crf.scored(docs, crf.trained(docs, table(spark, sf_dir, "labels")))
 
 
 def op4_sharded_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages written as archives into the shared folder, and read back."""
     out = warc.new_folder(spark)
-    return warc.read(warc.write(table(spark, sf_dir, "pages"), out), out).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return warc.read(warc.write(texts_of(spark, sf_dir, "pages"), out), out).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op5_trie_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document."""
-    return unigram.token_counts(table(spark, sf_dir, "documents"))
+    return unigram.token_counts(texts_of(spark, sf_dir, "documents"))
 
 
 def op3_fertility_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality rules of every document."""
-    return fertility.judged(table(spark, sf_dir, "documents"))
+    return fertility.judged(texts_of(spark, sf_dir, "documents"))
 
 
 def op6_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate classes of the documents: shingles of three words, a similarity of 0.85."""
-    out = minhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85, bands=24, rows=6)
+    out = minhash.near_duplicates(texts_of(spark, sf_dir, "documents"), words=3, percent=85, bands=24, rows=6)
     return out.select("doc_id", "n_shingles", "component_id", "kept")
 
 
@@ -63,12 +71,12 @@ SELECT doc_id, len(s)::BIGINT AS n_shingles, component_id, doc_id = component_id
 
 def op8_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every document."""
-    return pii.report(table(spark, sf_dir, "documents"))
+    return pii.report(texts_of(spark, sf_dir, "documents"))
 
 
 def op9_suffix_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark passages in the documents: windows of 13 words, contaminated from 5 % of the words on."""
-    return automaton.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=13, percent=5)
+    return automaton.report(texts_of(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=13, percent=5)
 
 
 OP9_SQL = rf"""
@@ -113,7 +121,7 @@ FROM e GROUP BY conv_id
 
 def op10_block_labeller(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The main text of every page."""
-    return labeller.extracted(table(spark, sf_dir, "pages"))
+    return labeller.extracted(texts_of(spark, sf_dir, "pages"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

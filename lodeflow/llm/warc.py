@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeflow.llm.common import arrow_map, pieces, remove, shared_dir, stored, texts
+from lodeflow.llm.common import arrow_map, pieces, removed, shared_dir, stored, texts
 
 DATE = "2000-01-01T00:00:00Z"
 NO_LINE = {ord(c): "%0D" if c == "\r" else "%0A" for c in "\r\n"}
@@ -217,7 +217,7 @@ def write(pages: DataFrame, out: str, *, shard_bytes: int | None = None, file_by
             yield _batch(done, MANIFEST)
 
     made.mapInArrow(commit, MANIFEST).write.parquet(f"{out}/manifest")
-    remove(spark, f"{out}/_temporary")
+    removed(spark, f"{out}/_temporary")
     return spark.read.schema(MANIFEST).parquet(f"{out}/manifest")
 
 
