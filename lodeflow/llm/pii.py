@@ -4,13 +4,19 @@ Everything is DataFrame and SQL functions. A kind's matches are read with their
 and the pieces between them. The patterns are written so that Java's matcher needs no backtracking beyond a word and no
 recursion; each finds the same leftmost, non-overlapping matches as the plain form in its comment.
 
-The method: tokens with a digit, their shape and the word before them are the graph's edges. Base matches are seeds. A lexical
-pattern (word before, shape) scores by its instances' scores, an instance by its patterns' scores, in turns; both sides are
-aggregated before they are joined. Unmatched tokens in a high-confidence pattern, with a high score of their own, become spans
-of the pattern's kind. Base spans stay as they are.
+The method: tokens with a digit or an at sign, their shape and the word before them are the graph's edges. Base matches are
+seeds. A lexical pattern (word before, shape) scores by its instances' scores, an instance by its patterns' scores, in turns;
+both sides are aggregated before they are joined. Unmatched tokens in a high-confidence pattern, with a high score of their
+own, become spans of the pattern's kind. Base spans stay as they are. The word before a token is the run of other characters
+than white space that ends before it or before the white space in front of it, back to the token before at most; words and
+shapes count whole, however long.
+
+Work grows in proportion to a text: a kind's spans are laid out as one mark for each character, in which a token looks up its
+own place, and a text is cut by places in an encoding of fixed width.
 
 Defined cases: a null text is empty; rows that repeat get the same spans; rows of one id with other texts are told apart by a
-hash of the text; an empty table gives no rows; other columns are ignored (or pass through ``redacted``).
+hash of the text; a token that meets spans of several kinds counts for the first kind; very long texts are read whole; an empty
+table gives no rows; other columns are ignored (or pass through ``redacted``, whatever their names).
 """
 
 from __future__ import annotations
@@ -20,7 +26,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodeflow.llm.common import stored
+from lodeflow.llm.common import free_name, stored
 
 KINDS = ("email", "ip", "card", "phone")
 _LOCAL = "A-Za-z0-9._%+-"
@@ -33,7 +39,7 @@ CARD = r"(?<![0-9 -])[0-9][0-9 -]{13,}+"
 LONE = r"(?<![0-9])[ -]|[ -](?![0-9])"
 PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
 _C = r"\p{L}0-9@._%+/=-"
-TOKEN = rf"(?<![{_C}])(?=[\p{{L}}@._%+/=-]*+[0-9])[{_C}]++"
+TOKEN = rf"(?<![{_C}])(?=[\p{{L}}._%+/=-]*+[0-9@])[{_C}]++"
 SPAN = "struct<start:int,end:int,kind:int,value:string>"
 
 
@@ -49,7 +55,7 @@ def _running(text: str, pattern: str, keep: str, item: str, kind: str) -> str:
     """
     cell, width = "struct<m:string,p:string,l:string>", 256
     return f"""transform(array(named_struct('m', regexp_extract_all({text}, {_q(pattern)}, 0), 'p', split({text}, {_q(pattern)}, -1))), b ->
-      transform(array(transform(b.m, (m, i) -> named_struct('m', m, 'p', b.p[i], 'l', if(i = 0, '', right(b.m[i - 1], 80))))), zs ->
+      transform(array(transform(b.m, (m, i) -> named_struct('m', m, 'p', b.p[i], 'l', if(i = 0, '', b.m[i - 1])))), zs ->
         flatten(transform(
           aggregate(transform(sequence(0, greatest(size(zs) - 1, 0), {width}), i -> slice(zs, i + 1, {width})),
             named_struct('at', 0, 'x', cast(array() as array<struct<at:int,part:array<{cell}>>>)),
@@ -84,14 +90,24 @@ def base_spans(text: str) -> Column:
     return F.expr(f"array_sort(concat({', '.join(parts)}), (x, y) -> case when x.start <> y.start then x.start - y.start else x.kind - y.kind end)")
 
 
+def _marks(spans: str, kind: int) -> str:
+    """SQL for one byte for each character up to the end of a kind's last span: 1 inside its spans, 0 elsewhere."""
+    own = f"filter({spans}, s -> s.kind = {kind})"
+    gap = "repeat('0', s.start - if(i = 0, 0, x[i - 1].end))"
+    return f"if(exists({spans}, s -> s.kind = {kind}), transform(array({own}), x -> cast(array_join(transform(x, (s, i) -> concat({gap}, repeat('1', s.end - s.start))), '') as binary))[0], null)"
+
+
 def tokens(text: str, spans: str) -> Column:
-    """array<struct<start,end,left,shape,value,kind>> of the tokens with a digit; kind is that of a base span they meet, else null."""
-    found = _running(text, TOKEN, "true", "named_struct('start', a.at + length(z.p), 'left', concat(z.l, right(z.p, 80)), 'value', rtrim('._%+/=-', z.m))", "struct<start:int,left:string,value:string>")
-    left = r"regexp_replace(lower(element_at(split(rtrim(right(x.left, 80)), r'\s+'), -1)), '[0-9]+', '0')"
+    """array<struct<start,end,left,shape,value,kind>> of the candidate tokens; kind is that of a base span they meet, else null."""
+    before = r"regexp_extract(concat(z.l, z.p), r'(?<!\S)(\S++)\s*+\z', 1)"
+    found = _running(text, TOKEN, "true", f"named_struct('start', a.at + length(z.p), 'left', {before}, 'value', rtrim('._%+/=-', z.m))", "struct<start:int,left:string,value:string>")
+    left = "regexp_replace(lower(x.left), '[0-9]+', '0')"
     shape = r"regexp_replace(regexp_replace(x.value, '[0-9]+', '0'), r'\p{L}+', 'a')"
-    kind = f"if(exists({spans}, s -> s.start < x.start + length(x.value) and s.end > x.start), filter({spans}, s -> s.start < x.start + length(x.value) and s.end > x.start)[0].kind, null)"
+    met = lambda k: f"instr(cast(substring(c.m{k}, x.start + 1, length(x.value)) as string), '1') > 0"
+    kind = f"case {' '.join(f'when {met(k)} then {k}' for k in range(len(KINDS)))} end"
     each = f"named_struct('start', x.start, 'end', x.start + length(x.value), 'left', {left}, 'shape', {shape}, 'value', xxhash64(lower(x.value)), 'kind', {kind})"
-    return F.expr(f"if({text} rlike '[0-9]', transform({found}, x -> {each}), null)")
+    marks = ", ".join(f"'m{k}', {_marks(spans, k)}" for k in range(len(KINDS)))
+    return F.expr(f"if({text} rlike '[0-9@]', transform(array(named_struct({marks})), c -> transform({found}, x -> {each}))[0], null)")
 
 
 def found_base(docs: DataFrame) -> DataFrame:
@@ -102,7 +118,7 @@ def found_base(docs: DataFrame) -> DataFrame:
 
 
 def discovered(found: DataFrame, *, turns: int = 3, support: int = 5, confidence: float = 0.9) -> DataFrame:
-    """(_id, _hash, more): the spans that high-confidence patterns add, by doc_id and hash."""
+    """(id, text_hash, more): the spans that high-confidence patterns add, by doc_id and hash."""
     said = found.select("doc_id", "hash", F.explode("tokens").alias("t")).select("doc_id", "hash", "t.*")
     ks = range(len(KINDS))
     edges = stored(said.groupBy("left", "shape", "value").agg(F.count("*").alias("n"), *(F.sum(F.when(F.col("kind") == k, 1).otherwise(0)).alias(f"k{k}") for k in ks)))
@@ -117,8 +133,10 @@ def discovered(found: DataFrame, *, turns: int = 3, support: int = 5, confidence
         instances = stored(seeds.join(by, "value").select("value", *(F.when(F.col("seed"), F.col(f"s{k}")).otherwise(F.col(f"q{k}")).alias(f"s{k}") for k in ks)))
     sure = patterns.where(F.col("support") >= support).select("left", "shape", F.explode(F.array(*(F.struct(F.lit(k).alias("as"), F.col(f"p{k}").alias("p")) for k in ks))).alias("x")).where(F.col("x.p") >= confidence).select("left", "shape", F.col("x.as").alias("as"))
     score = F.element_at(F.array(*(F.col(f"s{k}") for k in ks)), F.col("as") + 1)
-    new = said.where("kind is null").join(sure, ["left", "shape"]).join(instances, "value").where(score >= confidence)
-    return new.groupBy(F.col("doc_id").alias("_id"), F.col("hash").alias("_hash")).agg(F.collect_set(F.struct("start", "end", F.col("as").alias("kind"))).alias("more"))
+    # the edges are decided first: tokens, which are many more, meet only those that became spans
+    good = stored(edges.where(F.col("n") > seeded).join(sure, ["left", "shape"]).join(instances, "value").where(score >= confidence).select("left", "shape", "value", "as"))
+    new = said.where("kind is null").join(good, ["left", "shape", "value"])
+    return new.groupBy(F.col("doc_id").alias("id"), F.col("hash").alias("text_hash")).agg(F.collect_set(F.struct("start", "end", F.col("as").alias("kind"))).alias("more"))
 
 
 def _named(spans: str) -> str:
@@ -128,30 +146,48 @@ def _named(spans: str) -> str:
 _BY_START = "(x, y) -> case when x.start <> y.start then x.start - y.start when x.kind <> y.kind then x.kind - y.kind else x.end - y.end end"
 
 
-def report(docs: DataFrame, **options) -> DataFrame:
-    """doc_id, a count for each kind and base_sha256 of the base spans, and all spans, for each row of (doc_id, text)."""
+def _every(docs: DataFrame, options: dict) -> DataFrame:
+    """(doc_id, hash, spans, every): the base spans and all spans of each row."""
     found = found_base(docs)
     more = discovered(found, **options)
-    out = found.join(more, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("_hash")), "left")
+    out = found.join(more, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("hash") == F.col("text_hash")), "left")
     every = f"array_sort(concat(spans, coalesce(more, cast(array() as array<struct<start:int,end:int,kind:int>>))), {_BY_START})"
-    return out.select(
+    return out.select("doc_id", "hash", "spans", F.expr(every).alias("every"))
+
+
+def report(docs: DataFrame, **options) -> DataFrame:
+    """doc_id, a count for each kind and base_sha256 of the base spans, and all spans, for each row of (doc_id, text)."""
+    return _every(docs, options).select(
         "doc_id", *(F.expr(f"cast(size(filter(spans, s -> s.kind = {k})) as long)").alias(f"n_{name}") for k, name in enumerate(KINDS)),
-        F.sha2(F.expr(_named("spans")), 256).alias("base_sha256"), F.expr(_named(every)).alias("spans"),
+        F.sha2(F.expr(_named("spans")), 256).alias("base_sha256"), F.expr(_named("every")).alias("spans"),
     )
 
 
+def _apart(spans: str) -> str:
+    """SQL for sorted spans with those that overlap made one, of the first one's kind.
+
+    The furthest end so far is carried on in parts of 256 spans; a span that starts at it or behind begins a new one, and ends
+    where the furthest end before the next such span lies.
+    """
+    cell = "struct<start:int,kind:int,before:int>"
+    begun = f"""transform(array({spans}), v -> flatten(transform(
+      aggregate(transform(sequence(0, greatest(size(v) - 1, 0), 256), i -> slice(v, i + 1, 256)),
+        named_struct('far', 0, 'x', cast(array() as array<struct<far:int,part:array<struct<start:int,end:int,kind:int>>>>)),
+        (a, part) -> named_struct('far', greatest(a.far, array_max(part.end)), 'x', concat(a.x, array(named_struct('far', a.far, 'part', part)))), a -> a.x),
+      q -> aggregate(q.part, named_struct('far', q.far, 'x', cast(array() as array<{cell}>)),
+        (a, s) -> named_struct('far', greatest(a.far, s.end), 'x', if(s.start >= a.far, concat(a.x, array(named_struct('start', s.start, 'kind', s.kind, 'before', a.far))), a.x)), a -> a.x))))[0]"""
+    return f"transform(array(named_struct('b', {begun}, 'last', array_max({spans}.end))), w -> transform(w.b, (s, i) -> named_struct('start', s.start, 'end', coalesce(get(w.b, i + 1).before, w.last), 'kind', s.kind)))[0]"
+
+
 def redacted(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with every span replaced by its kind in capitals between angle brackets; spans that overlap are one."""
-    found = found_base(docs)
-    more = discovered(found, **options)
-    spans = found.join(more, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("_hash")), "left").select(
-        F.col("doc_id").alias("_id"), F.col("hash").alias("_hash"),
-        F.expr(f"array_sort(concat(spans, coalesce(more, cast(array() as array<struct<start:int,end:int,kind:int>>))), {_BY_START})").alias("_spans"),
-    ).where("size(_spans) > 0").dropDuplicates(["_id", "_hash"])
-    merged = """aggregate(_spans, cast(array() as array<struct<start:int,end:int,kind:int>>), (a, s) -> if(size(a) > 0 and s.start < a[size(a) - 1].end,
-      concat(slice(a, 1, size(a) - 1), array(named_struct('start', a[size(a) - 1].start, 'end', greatest(a[size(a) - 1].end, s.end), 'kind', a[size(a) - 1].kind))), concat(a, array(s))))"""
+    id_, hash_, spans_, key = (free_name(docs.columns, c) for c in ("id", "hash", "spans", "key"))
+    spans = _every(docs, options).where("size(every) > 0").groupBy(F.col("doc_id").alias(id_), F.col("hash").alias(hash_)).agg(F.first("every").alias("every"))
+    spans = spans.select(id_, hash_, F.expr(_apart("every")).alias(spans_))
     names = f"array({', '.join(repr(f'<{k.upper()}>') for k in KINDS)})"
-    cut = f"concat(array_join(transform(m, (s, i) -> concat(substring(text, if(i = 0, 1, m[i - 1].end + 1), s.start - if(i = 0, 0, m[i - 1].end)), element_at({names}, s.kind + 1))), ''), substring(text, m[size(m) - 1].end + 1))"
-    own = docs.withColumn("_key", F.xxhash64(F.coalesce("text", F.lit(""))))
-    out = own.join(spans, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_hash")), "left").withColumn("_merged", F.expr(merged))
-    return out.select(*(F.expr(f"if(_spans is null, text, transform(array(_merged), m -> {cut})[0])").alias("text") if c == "text" else F.col(c) for c in docs.columns))
+    piece = "decode(substring(c.u, 4 * if(i = 0, 0, c.m[i - 1].end) + 1, 4 * (s.start - if(i = 0, 0, c.m[i - 1].end))), 'UTF-32')"
+    cut = f"""transform(array(named_struct('u', encode(text, 'UTF-32'), 'm', `{spans_}`)), c -> concat(
+      array_join(transform(c.m, (s, i) -> concat({piece}, element_at({names}, s.kind + 1))), ''), decode(substring(c.u, 4 * c.m[size(c.m) - 1].end + 1), 'UTF-32')))[0]"""
+    own = docs.withColumn(key, F.xxhash64(F.coalesce("text", F.lit(""))))
+    out = own.join(spans, F.col("doc_id").eqNullSafe(F.col(id_)) & (F.col(key) == F.col(hash_)), "left")
+    return out.select(*(F.expr(f"if(`{spans_}` is null, text, {cut})").alias("text") if c == "text" else F.col(c) for c in docs.columns))
