@@ -1,4 +1,4 @@
-"""HTML into leaf blocks: runs of text between block-level tags, each with the tags and class names above it."""
+"""HTML into leaf blocks: runs of text between block-level tags, each with the tags and class names of all elements above it."""
 
 from __future__ import annotations
 
@@ -30,12 +30,12 @@ IMPLIED = {
     "optgroup": (frozenset(["option", "optgroup"]), frozenset(["select", "datalist"])),
     "body": (frozenset(["head"]), frozenset()),
 }
-DEEP = 16
 
 
 @dataclass(slots=True)
 class Block:
-    """path: names of the nearest elements, outermost first; text: white space collapsed; linked: characters inside links."""
+    """path: the different names of all open elements, those of the innermost last; text: white space collapsed; linked:
+    characters inside links."""
 
     path: tuple[str, ...]
     text: str
@@ -48,7 +48,7 @@ def _names(tag: str, attributes: str) -> tuple[str, ...]:
     if attributes:
         for m in ATTRIBUTE.finditer(attributes):
             out += [f".{w}" for w in NAME.findall((m[2] or m[3] or m[4] or "").lower())]
-    return tuple(out[:24])
+    return tuple(dict.fromkeys(out))
 
 
 def _end_of(tag: str, page: str, at: int) -> int:
@@ -65,36 +65,50 @@ def blocks(page: str) -> list[Block]:
     """
     out: list[Block] = []
     stack: list[tuple[str, tuple[str, ...]]] = []
+    named: dict[str, int] = {}  # how many open elements have a name
+    path: tuple[str, ...] | None = ()
     places: dict[str, list[int]] = {}
     said: list[str] = []
     at = linked = links = skipped = 0
     end = len(page)
 
     def close() -> None:
-        nonlocal linked
+        nonlocal linked, path
         if said:
             text = " ".join(html.unescape("".join(said)).split())
             if text:
-                out.append(Block(tuple(n for _, names in stack[-DEEP:] for n in names), text, linked))
+                if path is None:
+                    own = next((names for _, names in reversed(stack) if names), ())
+                    path = (*(n for n in named if n not in own), *own)
+                out.append(Block(path, text, linked))
             said.clear()
         linked = 0
 
     def push(tag: str, names: tuple[str, ...]) -> None:
+        nonlocal path
         places.setdefault(tag, []).append(len(stack))
         stack.append((tag, names))
+        for n in names:
+            named[n] = named.get(n, 0) + 1
+        path = None
 
     def last(*tags: str) -> int:
         """The place of the innermost open element of these; -1 if there is none."""
         return max((places[t][-1] for t in tags if places.get(t)), default=-1)
 
     def pop(wanted: frozenset[str], until: frozenset[str]) -> None:
-        nonlocal skipped
+        nonlocal skipped, path
         k = last(*wanted)
         if k > last(*until):
-            for t, _ in stack[k:]:
+            for t, names in stack[k:]:
                 places[t].pop()
                 skipped -= t in SKIPPED
+                for n in names:
+                    named[n] -= 1
+                    if not named[n]:
+                        del named[n]
             del stack[k:]
+            path = None
 
     while at < end:
         m = TAG.search(page, at)

@@ -85,3 +85,18 @@ def test_layouts_and_pages(spark):
         assert r.text == "\n\n".join(x for x in parts if x) and r.n_chars == len(r.text)
     assert L.extracted(pages.limit(0)).withColumn("x", F.lit(1)).count() == 0
     assert L.main_text([Block((), "a", 0)], np.array([0.4])) == ""
+
+
+def test_names_of_all_open_elements_count_at_any_depth():
+    page = "<article>" + "<div>" * 300 + "<p>in</p></article><p>out</p>"
+    assert [(b.path, b.text) for b in blocks(page)] == [(("<article", "<div", "<p"), "in"), (("<p",), "out")]
+    many = " ".join(f"n{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(60))
+    assert len(blocks(f'<div class="{many}">x</div>')[0].path) == 61
+
+
+def test_a_deeply_nested_comment_is_still_a_comment():
+    said = "The river rose again over the night and the old bridge was closed to all traffic until the morning."
+    wrap = lambda x, n: "<div>" * n + x + "</div>" * n
+    page = wrap(f"<article><h1>Title of it</h1>{wrap(f'<p>{said}</p>', 25)}<p>{said}</p></article>", 25) + f'<section class="comments">{wrap(f"<p>{said} reply</p>", 25)}</section>'
+    found = blocks(page)
+    assert L.main_text(found, L.trained().main([found])[0]) == f"Title of it\n\n{said}\n\n{said}"
