@@ -1,16 +1,18 @@
 """Chat formatting by schema fingerprints, in DataFrame functions only.
 
-A record's layout is the set of its nested field paths. The fingerprint, a SHA-256 of those paths, selects a declarative
-mapping that turns the layout (prompt and response, instruction with input, lists of messages, rows by turn) into canonical
-turns: an array of (role, text). Typed frames are fingerprinted by their schema, JSON records row by row.
+A record's layout is the set of its nested field paths that any mapping knows; other fields (an id, a source) are kept aside. The
+fingerprint, a SHA-256 of those paths in order, is looked up among the mappings' fingerprints, and the declarative mapping found
+turns the layout (prompt and response, instruction with input, lists of messages, rows by turn) into canonical turns: an array
+of (role, text). A JSON record's paths are read from its own schema and hashed row by row, a typed frame's once from its schema.
 
 The template writes each turn as ``### role: text</turn>`` and a newline. A backslash is doubled, ``##`` becomes ``#\\#`` and
 ``</turn>`` becomes ``<\\/turn>`` in roles and texts (and ``:`` becomes ``\\:`` in roles), so no text holds a mark, and taking
 one backslash before any character away reads it back.
 
-Defined cases: null roles and texts are empty; turns sort by turn (nulls first), then role, then text; rows that repeat are
-turns of their own; an empty table gives no conversation; a layout that no mapping knows gives null turns; other columns are
-ignored.
+Defined cases: null roles and texts of rows by turn are empty, and ``formatted`` writes any null as empty; turns sort by turn
+(nulls first), then role, then text; rows that repeat are turns of their own; an empty table gives no conversation; a layout
+that no mapping has gives null turns and its fingerprint, for a mapping to be declared; a list without elements has no fields;
+very long texts are formatted whole; other columns are kept aside, those named as a result (turns, fingerprint) are replaced.
 """
 
 from __future__ import annotations
@@ -22,6 +24,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lodeflow.llm.common import free_name
+
 TURNS = "array<struct<role:string,text:string>>"
 END = "</turn>"
 
@@ -79,14 +83,28 @@ MAPPINGS: tuple[Mapping, ...] = (
     Mapping((("user", "prompt"), ("assistant", "completion"))),
     Mapping((("user", "question"), ("assistant", "answer"))),
     Mapping((("system", "system"), ("user", "prompt"), ("assistant", "response"))),
+    Mapping((("system", "system"), ("user", "question"), ("assistant", "response"))),
     Mapping((("user", "instruction"), ("assistant", "output"))),
+    Mapping((("user", "instruction"), ("assistant", "response"))),
     Mapping((("user", "input"), ("assistant", "output")), lead="instruction"),
     Mapping(listed=("messages[].role", "messages[].content")),
     Mapping(listed=("conversations[].from", "conversations[].value")),
     Mapping(listed=("turns[].role", "turns[].text")),
 )
 #: Rows by turn: one row of the frame is a turn of the conversation that conv_id names.
-BY_TURN = fingerprint(["conv_id", "turn", "role", "text"])
+BY_TURN = ("conv_id", "turn", "role", "text")
+
+
+def layouts(mappings: tuple[Mapping, ...] = MAPPINGS) -> dict[str, Mapping]:
+    """The mappings by fingerprint; no two may share one."""
+    out = {m.fingerprint: m for m in mappings}
+    if len(out) < len(mappings):
+        raise ValueError("two mappings have the same field paths")
+    return out
+
+
+def _known(mappings: tuple[Mapping, ...]) -> set[str]:
+    return {f for m in mappings for f in m.fields}
 
 
 def _json_schema(fields: tuple[str, ...]) -> str:
@@ -102,47 +120,57 @@ def _json_schema(fields: tuple[str, ...]) -> str:
 
 def typed_turns(df: DataFrame, mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
     """A typed frame's records as turns: the columns besides the layout's stay. Rows by turn become one row for each conv_id."""
-    everything = paths(df.schema)
-    if {"conv_id", "turn", "role", "text"} <= set(df.columns):
+    found = paths(df.schema)
+    if fingerprint([p for p in found if p in BY_TURN]) == fingerprint(list(BY_TURN)):
         own = df.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-        if fingerprint(paths(own.schema)) == BY_TURN:
-            return own.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))), lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text"))).alias("turns"))
-    fits = [m for m in mappings if set(m.fields) <= set(everything)]
-    if not fits:
-        return df.withColumn("turns", F.lit(None).cast(TURNS))
-    best = max(fits, key=lambda m: len(m.fields))
+        return own.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))), lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text"))).alias("turns"))
+    known = _known(mappings)
+    best = layouts(mappings).get(fingerprint([p for p in found if p in known]))
+    if best is None:
+        return df.select(*(c for c in df.columns if c != "turns"), F.lit(None).cast(TURNS).alias("turns"))
     used = {f.split("[]")[0].split(".")[0] for f in best.fields}
     return df.select(*(c for c in df.columns if c not in used and c != "turns"), best.turns(F.struct(*sorted(used))).alias("turns"))
 
 
-def json_turns(df: DataFrame, record: str, mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
-    """JSON records of mixed layouts: adds the row's fingerprint and its turns.
+_NAME = r"(?:`(?:[^`]|``)*+`|[^\s<>,:`]++): "
 
-    Paths come from the record's own schema. Lists with elements of different fields and records that aren't objects have no
-    mapping. Unused top-level fields (an id, a source) change the fingerprint and so need a mapping of their own.
+
+def json_paths(record: Column) -> Column:
+    """The nested field paths of JSON records, from the record's own schema; null for what isn't JSON.
+
+    The schema's text is read from left to right with a stack of names, lists and objects: a kind of value ends a path. Elements
+    of a list count together, so a list has the fields of all its elements.
     """
-    shape = F.schema_of_variant(F.try_parse_json(F.col(record)))
-    found = F.lit(None).cast("string")
-    turns = F.lit(None).cast(TURNS)
-    for m in mappings:
-        # the variant's schema names an object's keys in order, so a layout has one shape but for the kinds of its values
-        shaped = shape.rlike(_shape(m.fields))
-        found = F.when(shaped, F.lit(m.fingerprint)).otherwise(found)
-        turns = F.when(shaped, m.turns(F.from_json(F.col(record), _json_schema(m.fields)))).otherwise(turns)
-    return df.withColumn("fingerprint", found).withColumn("turns", turns)
+    schema = F.schema_of_variant(F.try_parse_json(record))
+    parts = F.regexp_extract_all(schema, F.lit(rf"({_NAME}|OBJECT<|ARRAY<|>|[A-Z]++(?:\([0-9, ]++\))?)"), F.lit(1))
+    none = F.array().cast("array<string>")
+    up = lambda stack: F.slice(stack, F.lit(1), F.size(stack) - 1)
+    # a value that has ended leaves the stack, and the name it belongs to with it
+    ended = lambda stack: F.when(F.element_at(F.concat(F.array(F.lit("[]")), stack), -1).isin("[]", "{"), stack).otherwise(up(stack))
+    path = lambda stack: F.regexp_replace(F.array_join(F.filter(stack, lambda x: x != "{"), "."), r"\.\[\]", "[]")
 
+    def read(s: Column, x: Column) -> Column:
+        stack, out = s["stack"], s["out"]
+        name = F.regexp_replace(F.regexp_replace(x, r"^`?|`?: $", ""), "``", "`")
+        opens = F.when(x == "OBJECT<", "{").when(x == "ARRAY<", "[]").when(x.endswith(": "), name)
+        return F.when(opens.isNotNull(), F.struct(F.concat(stack, F.array(opens)).alias("stack"), out.alias("out"))).when(
+            x == ">", F.struct(ended(up(stack)).alias("stack"), out.alias("out"))
+        ).otherwise(F.struct(ended(stack).alias("stack"), F.concat(out, F.array(path(stack))).alias("out")))
 
-_SCALAR = r"(?:STRING|VOID|BIGINT|DOUBLE|BOOLEAN|DECIMAL\(\d+,\d+\))"
+    return F.aggregate(parts, F.struct(none.alias("stack"), none.alias("out")), read, lambda s: F.array_distinct(s["out"]))
 
 
-def _shape(fields: tuple[str, ...]) -> str:
-    """A pattern of a variant's schema with just these fields."""
-    nested: dict[str, list[str]] = {}
-    for f in sorted(fields):
-        head, _, rest = f.partition("[].")
-        nested.setdefault(head, []).append(rest)
-    one = [f"{k}: ARRAY<OBJECT<{', '.join(f'{r}: {_SCALAR}' for r in rest)}>>" if rest[0] else f"{k}: {_SCALAR}" for k, rest in sorted(nested.items())]
-    return f"^OBJECT<{', '.join(one)}>$"
+def json_turns(df: DataFrame, record: str, mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
+    """JSON records of mixed layouts: adds the row's fingerprint and its turns; what isn't JSON has neither."""
+    by = layouts(mappings)
+    known = F.array(*(F.lit(p) for p in sorted(_known(mappings))))
+    name = free_name(df.columns, "layout")
+    own = F.sha2(F.array_join(F.array_sort(F.array_intersect(json_paths(F.col(record)), known)), "\n"), 256)
+    out = df.withColumn(name, own)
+    turns = F.lit(None).cast(TURNS)
+    for found, m in by.items():
+        turns = F.when(F.col(name) == found, m.turns(F.from_json(F.col(record), _json_schema(m.fields)))).otherwise(turns)
+    return out.select(*(c for c in df.columns if c not in ("fingerprint", "turns")), F.col(name).alias("fingerprint"), turns.alias("turns"))
 
 
 def escaped(text: Column, *, role: bool = False) -> Column:

@@ -47,3 +47,23 @@ def test_typed_layouts(spark):
     assert [(t.role, t.text) for t in chat.typed_turns(df).first().turns] == [("user", "u")]
     assert chat.typed_turns(spark.createDataFrame([(1,)], "id int")).first().turns is None
     assert chat.MAPPINGS[0].fingerprint != chat.MAPPINGS[1].fingerprint
+
+
+def test_the_fingerprint_of_the_records_own_paths_selects_the_mapping(spark):
+    records = [
+        '{"id":7,"prompt":"p","response":"r","source":{"name":"x","tags":[1,"a"]}}', '{"prompt":"p","completion":"r"}', '{"prompt":"p","answer":"r"}', '{"prompt":"p","response":"r","messages":[{"role":"user","content":"u"}]}',
+        '{"messages":[{"content":"u","role":"user","name":null},{"role":"assistant","content":"a","odd`key: <x>":[[{"q":1}]]}]}', '{"messages":[]}', '[{"prompt":"p","response":"r"}]', '{"prompt":{"text":"p"},"response":"r"}', '{"a":{"prompt":"p","response":"r"}}',
+    ]
+    df = spark.createDataFrame([(i, x, "mine") for i, x in enumerate(records)], "i int, rec string, layout string")
+    rows = chat.json_turns(df, "rec").orderBy("i").collect()
+    by = chat.layouts()
+    assert [by[r.fingerprint].fields if r.fingerprint in by else None for r in rows] == [("prompt", "response"), ("prompt", "completion"), None, None, ("messages[].role", "messages[].content"), None, None, None, None]
+    assert [r.turns is not None for r in rows] == [r.fingerprint in by for r in rows] and {r.layout for r in rows} == {"mine"}
+    assert rows[2].fingerprint == chat.fingerprint(["prompt", "answer"]) and rows[5].fingerprint == chat.fingerprint([])
+    found = df.select(chat.json_paths(F.col("rec")).alias("p")).collect()
+    assert sorted(found[0].p) == ["id", "prompt", "response", "source.name", "source.tags[]"] and sorted(found[4].p) == ["messages[].content", "messages[].name", "messages[].odd`key: <x>[][].q", "messages[].role"]
+    own = (chat.Mapping((("user", "prompt"), ("assistant", "answer"))),)
+    assert [t.text for t in chat.json_turns(df, "rec", own).where("i = 2").first().turns] == ["p", "r"]
+    for fields, want in ((("prompt", "response"), True), (("prompt", "answer"), False), (("prompt", "completion"), True)):
+        typed = spark.createDataFrame([("p", "r", 1)], f"{fields[0]} string, {fields[1]} string, id int")
+        assert (chat.typed_turns(typed).first().turns is not None) == want
