@@ -37,6 +37,16 @@ def op4_sharded_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(warc.write(texts_of(spark, sf_dir, "pages"), out), out).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+#: Base32 of the SHA-1 in five hexadecimal digits, four letters, at once.
+OP4_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, octet_length(encode(html))::BIGINT AS payload_bytes, list_aggregate(list_transform(range(8), lambda k: list_aggregate(list_transform(range(4),
+    lambda j: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(sha1(html), 5 * k + 1, 5))::BIGINT >> (15 - 5 * j)) & 31)::INT + 1, 1)), 'string_agg', '')), 'string_agg', '') AS payload_digest FROM p),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM d)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM f
+"""
+
+
 def op5_trie_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document."""
     return unigram.token_counts(texts_of(spark, sf_dir, "documents"))
@@ -138,6 +148,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op4_sharded_warc": OP4_SQL,
     "op6_circulant_minhash": OP6_SQL,
     "op7_schema_fingerprint": OP7_SQL,
     "op9_suffix_automaton": OP9_SQL,

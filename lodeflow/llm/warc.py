@@ -1,19 +1,21 @@
-r"""Deterministic sharded WARC writer and its reader.
+"""Deterministic sharded WARC writer and its reader.
 
-Ids are dealt into shards by ranges of about equal payload size; the limits come from a histogram of the ids that is refined
-where a bucket is too heavy, so they depend on the rows alone. Pages are shuffled once, sorted inside each shard by id, and
+Records are sorted by id and payload digest and dealt into shards by ranges of about equal payload size; the limits come from a
+histogram of the ids, and for an id that is too heavy by itself (null among them) of its digests, refined where a bucket is too
+heavy, so they depend on the rows alone. Pages are shuffled once, each shard to the task of its number, sorted there, and
 streamed into gzip members, one a record; a file is closed when its compressed size reaches a limit. Headers (lengths, dates,
 ids) and digests are made anew from the payload. Of equal payloads that with the smallest id is a response, others are revisit
 records without it. Which ids are copies is found from ids and digests alone; those rows travel in the same exchange as the
-pages, so no join moves a payload.
+pages, so no join moves a payload, and a task holds one record at a time.
 
 A writer's file has a temporary name of its own. The names that Spark's commit of the manifest keeps are then renamed, by
 steps that may run twice; readers take the files of the manifest only. So a lost or repeated task leaves nothing behind but a
 temporary file, which the end of the write removes.
 
 Defined cases: a null payload is empty, and all empty ones are copies of each other; rows that repeat an id and a payload are
-a response and revisits of the same id; null ids sort first, are responses where no row with an id has their payload, and read
-back as null; an empty table gives a manifest without files; other columns are ignored.
+a response and revisits of the same id, in order of their URL, and stay in one shard; null ids sort first, are responses where
+no row with an id has their payload, and read back as null; a very long payload is one record of its own; an empty table gives a
+manifest without files; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,16 +24,18 @@ import base64
 import hashlib
 import uuid
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeflow.llm.common import arrow_map, pieces, removed, shared_dir, stored, texts
+from lodeflow.llm.common import pieces, removed, shared_dir, stored
 
+#: Tasks of a write or read at most; with more shards a task takes several that follow each other.
+MOST_TASKS = 20_000
 DATE = "2000-01-01T00:00:00Z"
 NO_LINE = {ord(c): "%0D" if c == "\r" else "%0A" for c in "\r\n"}
 MANIFEST = "shard long, part long, name string, records long, bytes long, sha256 string"
@@ -44,43 +48,74 @@ def digest(payload: bytes) -> str:
 
 
 def keyed(pages: DataFrame) -> DataFrame:
-    """(page_id, size, digest) of each page."""
+    """(page_id, size, digest) of each page; the digest is hexadecimal."""
+    return pages.select(F.col("page_id").cast("long"), F.coalesce(F.octet_length("html"), F.lit(0)).cast("long").alias("size"), _sha1("html").alias("digest"))
 
-    def f(b: pa.RecordBatch) -> pa.RecordBatch:
-        found = texts(b.column(1))
-        return pa.RecordBatch.from_arrays([b.column(0), pa.array(map(len, found), pa.int64()), pa.array(map(digest, found), pa.string())], ["page_id", "size", "digest"])
 
-    return arrow_map(pages.select(F.col("page_id").cast("long"), "html"), f, "page_id long, size long, digest string")
+def _sha1(column: str) -> Column:
+    return F.sha1(F.coalesce(F.col(column), F.lit("")).cast("binary"))
 
 
-def limits(ids: DataFrame, most: int, *, finer: int = 4) -> list[int]:
-    """The ids at which a new shard starts, so that a shard holds about ``most`` bytes; only one id's rows can't be split.
+#: Leading bits of a digest, as a number, by which the rows of one id are told apart.
+MARK_BITS = 60
 
-    Collected are the buckets of a histogram over the ids' leading bits: about eight for each shard at most, and 2**finer for
-    each bucket that is refined.
-    """
-    ids = ids.where("page_id is not null")
-    low, high, total = ids.agg(F.min("page_id"), F.max("page_id"), F.sum("size")).first()
-    if low is None:
-        return []
-    shift = max(0, ((high - low) // max(64, 4 * total // most)).bit_length())
-    sizes: dict[int, int] = {}
-    left = ids
+
+def _mark(digest: Column) -> Column:
+    return F.conv(F.substring(digest, 1, MARK_BITS // 4), 16, 10).cast("long")
+
+
+def _histogram(rows: DataFrame, by: list[str], value: Column, most: int, finer: int) -> list[tuple]:
+    """(by, start of a range of ``value``, size): ranges from (by, value, size, shift), refined while they hold more than ``most``."""
+    rows, out = rows.select(*by, value.alias("value"), "size", "shift"), []
     while True:
-        found = {int(r["at"]): int(r["size"]) for r in left.groupBy(F.shiftright("page_id", shift).alias("at")).agg(F.sum("size").alias("size")).collect()}
-        heavy = [a for a, n in found.items() if n > most and shift]
-        sizes |= {a << shift: n for a, n in found.items() if n <= most or not shift}
+        at = F.call_function("shiftright", F.col("value"), F.col("shift"))
+        found = rows.groupBy(*by, "shift", at.alias("at")).agg(F.sum("size").alias("bytes")).collect()
+        heavy = [r for r in found if r["bytes"] > most and r["shift"]]
+        out += [(*(r[c] for c in by), r["at"] << r["shift"], r["bytes"]) for r in found if not (r["bytes"] > most and r["shift"])]
         if not heavy:
-            break
-        marks = F.broadcast(ids.sparkSession.createDataFrame([(a,) for a in heavy], "mark long"))
-        left = ids.join(marks, F.shiftright("page_id", shift) == marks["mark"], "left_semi")
-        shift = max(0, shift - finer)
+            return out
+        kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in by)
+        marks = rows.sparkSession.createDataFrame([(*(r[c] for c in by), r["shift"], r["at"]) for r in heavy], f"{kinds}{', ' if by else ''}old int, mark long")
+        marks = F.broadcast(marks.select(*(F.col(c).alias(f"mark_{c}") for c in by), "old", "mark"))  # no more rows than shards
+        met = (F.col("shift") == F.col("old")) & (at == F.col("mark"))
+        for c in by:
+            met = met & F.col(c).eqNullSafe(F.col(f"mark_{c}"))
+        rows = rows.join(marks, met).select(*by, "value", "size", F.greatest(F.lit(0), F.col("shift") - finer).cast("int").alias("shift"))
+
+
+def limits(ids: DataFrame, most: int, *, finer: int = 4) -> list[tuple[bool, int, int]]:
+    """Where a new shard starts, as (whether there is an id, id, mark of the digest), so that a shard holds about ``most`` bytes.
+
+    Only rows equal in id and mark can't be split. Collected are the buckets of the histograms: about eight for each shard at
+    most, and 2**finer for each bucket that is refined.
+    """
+    low, high, total, null = ids.agg(F.min("page_id"), F.max("page_id"), F.sum("size"), F.sum(F.when(F.col("page_id").isNull(), F.col("size")))).first()
+    sizes: dict[tuple[bool, int, int], int] = {}
+    heavy = []
+    if low is not None:
+        shift = max(0, ((high - low) // max(64, 4 * total // most)).bit_length())
+        for at, size in _histogram(ids.where("page_id is not null").withColumn("shift", F.lit(shift)), [], F.col("page_id"), most, finer):
+            if size > most:
+                heavy.append((at, size))
+            else:
+                sizes[True, at, -1] = size
+    if null is not None:
+        if null > most:
+            heavy.append((None, null))
+        else:
+            sizes[False, 0, -1] = null
+    if heavy:
+        marks = [(a, max(0, MARK_BITS - (8 * n // most).bit_length())) for a, n in heavy]
+        named = F.broadcast(ids.sparkSession.createDataFrame(marks, "heavy long, shift int"))  # no more rows than shards
+        rows = ids.join(named, ids["page_id"].eqNullSafe(named["heavy"]))
+        for at, mark, size in _histogram(rows, ["page_id"], _mark(F.col("digest")), most, finer):
+            sizes[at is not None, at or 0, mark] = size
     cuts, now = [], 0
-    for a in sorted(sizes):
-        if now and now + sizes[a] > most:
-            cuts.append(a)
+    for at in sorted(sizes):
+        if now and now + sizes[at] > most:
+            cuts.append(at)
             now = 0
-        now += sizes[a]
+        now += sizes[at]
     return cuts
 
 
@@ -91,20 +126,20 @@ def record(kind: str, name: str, date: str, headers: list[tuple[str, str]], bloc
     return z.compress("\r\n".join(lines).encode() + b"\r\n\r\n") + z.compress(block) + z.compress(b"\r\n\r\n") + z.flush()
 
 
-def page_record(page_id: int | None, n: int, url: str | None, payload: bytes, own: str, refers_to: tuple[int | None, int] | None, date: str) -> bytes:
-    """A response, or a revisit of the record ``refers_to`` (an id and its number among rows of that id)."""
+def page_record(page_id: int | None, n: int, url: str | None, payload: bytes, own: str, refers_to: int | None, revisit: bool, date: str) -> bytes:
+    """A response, or a revisit of the response of ``refers_to``; n numbers the records of one id and payload."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
-    block = http if refers_to else http + payload
+    block = http if revisit else http + payload
     headers = [("WARC-Payload-Digest", f"sha1:{own}"), ("WARC-Block-Digest", f"sha1:{digest(block)}"), ("Content-Type", "application/http; msgtype=response")]
     if url is not None:
         headers.insert(0, ("WARC-Target-URI", url.translate(NO_LINE)))
-    if refers_to:
-        headers += [("WARC-Refers-To", f"<{_name(*refers_to)}>"), ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")]
-    return record("revisit" if refers_to else "response", _name(page_id, n), date, headers, block)
+    if revisit:
+        headers += [("WARC-Refers-To", f"<{_name(refers_to, own, 0)}>"), ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")]
+    return record("revisit" if revisit else "response", _name(page_id, own, n), date, headers, block)
 
 
-def _name(page_id: int | None, n: int) -> str:
-    return f"urn:page:{'' if page_id is None else page_id}:{n}"
+def _name(page_id: int | None, own: str, n: int) -> str:
+    return f"urn:page:{'' if page_id is None else page_id}:{own}:{n}"
 
 
 def _files(uri: str):
@@ -163,33 +198,33 @@ def write(pages: DataFrame, out: str, *, shard_bytes: int | None = None, file_by
     if shard_bytes is None:
         shard_bytes = min(512 << 20, max(4 << 20, (ids.agg(F.sum("size")).first()[0] or 0) >> 6))
     cuts = limits(ids, shard_bytes)
-    held = spark.sparkContext.broadcast(np.array(cuts, np.int64))
+    held = spark.sparkContext.broadcast(cuts)
 
     @F.pandas_udf("long")
-    def shard(i: pd.Series) -> pd.Series:
-        return pd.Series(np.where(i.isna(), 0, np.searchsorted(held.value, i.fillna(0).astype("int64"), "right")))
+    def shard(i: pd.Series, mark: pd.Series) -> pd.Series:
+        there = i.notna()
+        return pd.Series([bisect_right(held.value, x) for x in zip(there.tolist(), i.fillna(0).astype("int64").where(there, 0).tolist(), mark.tolist(), strict=True)], dtype="int64")
 
     copies = ids.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1")
     moved = ids.join(copies, "digest").where("first is not null and not page_id <=> first").select("page_id", "digest", "first").distinct()
-    rows = pages.select("page_id", F.lit(1).alias("kind"), "url", F.col("html").cast("binary"), F.lit(None).cast("string").alias("digest"), F.lit(None).cast("long").alias("first"))
-    rows = rows.unionByName(moved.select("page_id", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("html"), "digest", "first"))
-    rows = rows.withColumn("shard", shard("page_id")).repartition(min(len(cuts) + 1, 10_000), "shard").sortWithinPartitions("shard", F.asc_nulls_first("page_id"), "kind", "url", "html")
+    rows = pages.select("page_id", _sha1("html").alias("digest"), F.lit(1).alias("kind"), "url", F.col("html").cast("binary"), F.lit(None).cast("long").alias("first"))
+    rows = rows.unionByName(moved.select("page_id", "digest", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("html"), "first"))
+    n, tasks = len(cuts) + 1, min(len(cuts) + 1, MOST_TASKS)
+    rows = rows.withColumn("shard", shard("page_id", _mark(F.col("digest"))))
+    rows = rows.repartitionById(tasks, F.floor(F.col("shard") * tasks / n).cast("int")).sortWithinPartitions("shard", F.asc_nulls_first("page_id"), "digest", "kind", "url")
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        roll, now, n, known, seen = _Roll(out, file_bytes, date), object(), 0, {}, {}
+        roll, now, n, first = _Roll(out, file_bytes, date), None, 0, None
         for b in pieces(batches):
             done = []
-            for page_id, kind, url, html, own, first, at in zip(*(b.column(c).to_pylist() for c in ("page_id", "kind", "url", "html", "digest", "first", "shard")), strict=True):
-                if page_id != now:
-                    now, n, known, seen = page_id, 0, {}, {}
+            for page_id, own, kind, url, html, to, at in zip(*(b.column(c).to_pylist() for c in ("page_id", "digest", "kind", "url", "html", "first", "shard")), strict=True):
+                if (page_id, own) != now:
+                    now, n, first = (page_id, own), 0, None
                 if kind == 0:
-                    known[own] = first
+                    first = to
                     continue
-                payload = html or b""
-                own = digest(payload)
-                to = (known[own], 0) if own in known else (page_id, seen[own]) if own in seen else None
-                seen.setdefault(own, n)
-                done += roll.put(at, page_record(page_id, n, url, payload, own, to, date))
+                refers_to = page_id if first is None else first
+                done += roll.put(at, page_record(page_id, n, url, html or b"", base64.b32encode(bytes.fromhex(own)).decode(), refers_to, n > 0 or first is not None, date))
                 n += 1
             if done:
                 yield _batch(done, MANIFEST)
@@ -278,8 +313,7 @@ def read(manifest: DataFrame, out: str) -> DataFrame:
                             done = []
                 yield _batch(done, READ)
 
-    n = manifest.count()
-    return manifest.select("name").repartition(max(1, min(n, 10_000)), "name").mapInArrow(f, READ)
+    return manifest.select("name").repartitionByRange(max(1, min(manifest.count(), MOST_TASKS)), "name").mapInArrow(f, READ)
 
 
 def new_folder(spark: SparkSession) -> str:

@@ -2,6 +2,8 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from bisect import bisect_right
+from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -57,8 +59,16 @@ def test_empty_and_pages(spark):
     assert got(warc.read(warc.write(pages, out), out)) == want([tuple(r) for r in pages.select("page_id", "url", "html").collect()])
 
 
-def test_limits_refine_clumped_ids(spark):
-    ids = spark.createDataFrame([(i, 10) for i in range(1000)] + [(1 << 40, 10)], "page_id long, size long")
-    cuts = warc.limits(ids, 1000)
-    sizes = [sum(10 for i in [*range(1000), 1 << 40] if a <= i < b) for a, b in zip([-1, *cuts], [*cuts, 1 << 62])]
-    assert max(sizes) <= 1000 and len(cuts) <= 25
+def test_limits_refine_clumped_ids_and_split_heavy_ones(spark):
+    sha = lambda i: hashlib.sha1(str(i).encode()).hexdigest()
+    rows = [(i, 10, sha(i)) for i in range(1000)] + [(1 << 40, 10, sha(0))] + [(500, 10, sha(i)) for i in range(400)] + [(None, 10, sha(i)) for i in range(300)]
+    cuts = warc.limits(spark.createDataFrame(rows, "page_id long, size long, digest string"), 1000)
+    at = Counter(bisect_right(cuts, (i is not None, i or 0, int(d[:15], 16))) for i, _, d in rows)
+    assert cuts == sorted(cuts) and 10 * max(at.values()) <= 1000 and len(cuts) <= 50 and sum(at.values()) == len(rows)
+
+
+def test_heavy_ids_and_nulls_lie_in_several_shards(spark):
+    rows = [(None if i % 3 else 7, "u", f"{i}" * 300) for i in range(200)] + [(None, "u", "copy")] * 5 + [(9, "u", "copy")]
+    out = warc.new_folder(spark)
+    manifest = warc.write(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5), out, shard_bytes=20_000)
+    assert got(warc.read(manifest, out)) == want(rows) and manifest.select("shard").distinct().count() > 5
