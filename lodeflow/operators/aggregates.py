@@ -45,9 +45,17 @@ def fm_distinct(df: DataFrame, keys: list[str], word: Column) -> DataFrame:
     return bits.select(*keys, exprs.fm_estimate(F.col("bits")).alias("estimate"))
 
 
-def top_k(df: DataFrame, by: str, ties: str, k: int) -> DataFrame:
-    """The k rows with the largest ``by``, of ties the smallest key; each task keeps k rows."""
-    return df.orderBy(F.desc(by), F.asc(ties)).limit(k)
+def top_k(df: DataFrame, by: str, ties: str, k: int, *, ascending: bool = False, padded: bool = False) -> DataFrame:
+    """The k rows (ties, by) or more columns with the largest ``by``, of ties the smallest key; each task keeps k rows.
+
+    ``ascending`` gives them from the least on; ``padded`` fills up to k rows with zeros, for frames of numbers.
+    """
+    out = df.orderBy(F.desc(by), F.asc(ties)).limit(k)
+    if padded:
+        zeros = df.sparkSession.range(k).select(*(F.lit(0).cast(f.dataType).alias(f.name) for f in df.schema))
+        own, fill = out.withColumn("fill", F.lit(0)), zeros.withColumn("fill", F.lit(1))
+        out = own.unionByName(fill).orderBy("fill", F.desc(by), F.asc(ties)).limit(k).drop("fill")
+    return out.orderBy(F.asc(by), F.desc(ties)) if ascending else out
 
 
 def frequency_of_frequencies(df: DataFrame, value: Column) -> DataFrame:
@@ -90,6 +98,11 @@ def neighbours(df: DataFrame, text: str, *, distance: int = 3, least: int = 2) -
     return found.select(F.col("x").alias("word"), exprs.java_hash(F.col("y")).alias("neighbour"), "n").groupBy("word", "neighbour").agg(F.sum("n").alias("n"))
 
 
+def neighbour_arrays(found: DataFrame) -> DataFrame:
+    """(word, neighbours): each word's neighbours of (word, neighbour, n) as one array, sorted by hash."""
+    return found.groupBy("word").agg(F.array_sort(F.collect_set("neighbour")).alias("neighbours"))
+
+
 def collected(df: DataFrame, key: str, value: Column, *, as_name: str = "values") -> DataFrame:
     """A key's values, sorted, as one string. For keys with few rows: a key's values meet in one task."""
     return df.groupBy(key).agg(F.array_join(F.transform(F.sort_array(F.collect_list(value)), lambda v: v.cast("string")), " ").alias(as_name))

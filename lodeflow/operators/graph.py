@@ -11,14 +11,14 @@ from lodeflow.functions.shared import stored
 def bounded_distances(edges: DataFrame, target: int, *, most: int = 4, directed: bool = False) -> DataFrame:
     """(id, distance): the least number of steps, ``most`` at most, from the target to each node that it reaches; not the target.
 
-    Edges are (id1, id2). Undirected they count both ways; directed, the steps lead from id1 to the target. Every turn joins
-    the nodes found last with the edges once, and its result is written, so a turn's plan doesn't grow.
+    Edges are (id1, id2). Undirected they count both ways. Directed, nodes with an edge to the target are one step away, and from
+    them distances spread along the edges, from id1 to id2. Every turn joins the nodes found last with the edges once, and its
+    result is written, so a turn's plan doesn't grow.
     """
-    both = edges.select(F.col("id2").alias("at"), F.col("id1").alias("next"))
-    if not directed:
-        both = both.unionByName(edges.select(F.col("id1").alias("at"), F.col("id2").alias("next")))
-    both = stored(both.where("at <> next").distinct())
-    found = both.where(F.col("at") == target).select(F.col("next").alias("id"), F.lit(1).alias("distance"))
+    forward, back = (edges.select(F.col(a).alias("at"), F.col(b).alias("next")).where("at <> next") for a, b in (("id1", "id2"), ("id2", "id1")))
+    both = stored((forward if directed else forward.unionByName(back)).distinct())
+    start = back if directed else both
+    found = start.where(F.col("at") == target).select(F.col("next").alias("id"), F.lit(1).alias("distance")).distinct()
     front = found = stored(found)
     for step in range(2, most + 1):
         near = front.join(both, front["id"] == both["at"]).select(F.col("next").alias("id")).where(F.col("id") != target).distinct()

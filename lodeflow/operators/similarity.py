@@ -48,9 +48,32 @@ def banded(items: Column, n_hashes: int, n_bands: int) -> Column:
     return F.transform(F.array(signed(items, n_hashes)), lambda s: bands(s, n_bands, n_hashes // n_bands))[0]
 
 
+def _same_size(a: Column, b: Column, value: Column, what: str) -> Column:
+    return F.when(F.size(a) != F.size(b), F.raise_error(F.lit(f"{what} of different sizes"))).otherwise(value)
+
+
+def true_places(bits: Column) -> Column:
+    """A vector of booleans as the set of its true places, from 0; null counts as false."""
+    return F.filter(F.sequence(F.lit(0), F.size(bits) - 1), lambda i: F.coalesce(F.get(bits, i), F.lit(False)))
+
+
+def jaccard_bits(a: Column, b: Column) -> Column:
+    """Jaccard index of two vectors of booleans; an error where their sizes differ."""
+    return _same_size(a, b, exprs.jaccard(true_places(a), true_places(b)), "vectors")
+
+
+def buckets_of_bits(bits: Column, stages: int, n_buckets: int) -> Column:
+    """A bucket for each stage of a vector of booleans: the sum of (place + 1) * BUCKET_PRIME over its true places, modulo PRIME."""
+    rows = F.floor(F.size(bits) / stages)
+    stage = lambda i: F.least(F.floor(i / rows), F.lit(stages - 1))
+    add = lambda acc, i: F.pmod(acc + (i + 1) * F.lit(BUCKET_PRIME).cast("long"), F.lit(PRIME).cast("long"))
+    own = lambda k: F.filter(true_places(bits), lambda i: stage(i) == k)
+    return F.array(*(F.pmod(F.aggregate(own(k), F.lit(0).cast("long"), add), F.lit(n_buckets)) for k in range(stages)))
+
+
 def similarity(a: Column, b: Column) -> Column:
-    """The share of equal places of two signatures."""
-    return F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda e: e)) / F.size(a)
+    """The share of equal places of two signatures; an error where their sizes differ."""
+    return _same_size(a, b, F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda e: e)) / F.size(a), "signatures")
 
 
 def bands(sig: Column, n_bands: int, rows: int) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeflow.functions import exprs
+from lodeflow.functions import exprs, files
 from lodeflow.functions.shared import shared_dir
 from lodeflow.functions.tables import spread, table
 from lodeflow.operators import aggregates, bloom, counting, enumeration, graph, joins, matrix, ordering, similarity
@@ -75,6 +75,32 @@ def fixed_width_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parsed.where(exprs.good_reading(F.col("airtemp"), F.col("quality"))).select("station", "year", "month", "day", "lat", "lng", "airtemp", "quality")
 
 
+@query("""
+WITH l AS (SELECT (l_suppkey * 7919) % 90000 AS lat, (l_partkey * 104729) % 180000 AS lng, l_suppkey % 3 = 0 AS south, l_partkey % 2 = 0 AS west, l_shipdate AS t, l_orderkey % 50 AS s, l_linenumber AS k FROM lineitem)
+SELECT (CASE WHEN south AND lat > 0 THEN '-' ELSE '' END) || lpad((lat // 1000)::VARCHAR, 2, '0') AS lat, (CASE WHEN west AND lng > 0 THEN '-' ELSE '' END) || lpad((lng // 1000)::VARCHAR, 3, '0') AS lng,
+  strftime(t, '%Y') AS year, strftime(t, '%m') AS month, count(*)::DOUBLE / (count(DISTINCT s) * count(DISTINCT day(t))) AS density
+FROM l WHERE k <> 7 GROUP BY 1, 2, 3, 4
+""")
+def weather_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Readings by whole degree and month over stations and days; line items written as weather records, one in seven without."""
+    lat, lng = F.pmod(F.col("l_suppkey") * 7919, F.lit(90000)), F.pmod(F.col("l_partkey") * 104729, F.lit(180000))
+    signed = lambda c, minus, n: F.concat(F.when(minus & (c > 0), "-").otherwise("+"), F.lpad(c.cast("string"), n, "0"))
+    line = F.concat(
+        F.lit("0000"), F.lpad(F.pmod("l_orderkey", F.lit(50)).cast("string"), 6, "0"), F.lit("00000"), F.date_format("l_shipdate", "yyyyMMdd"), F.lit("0000+"), signed(lat, F.col("l_suppkey") % 3 == 0, 5),
+        signed(lng, F.col("l_partkey") % 2 == 0, 6), F.lit("FM-12+0000"), F.repeat(F.lit("9"), 36), F.when(F.col("l_linenumber") == 7, F.when(F.col("l_partkey") % 2 == 0, "-9999").otherwise("+9999")).otherwise("+0123"), F.lit("1"),
+    )
+    cells = readers.weather_cells(T(spark, sf_dir, "lineitem").select(line.alias("value")))
+    return aggregates.density(cells, [F.col(c) for c in ("lat", "lng", "year", "month")], F.col("station"), F.col("day"))
+
+
+@query("SELECT strftime(ts, '%H') || '0000' AS hour, sum(event_id % 1000)::BIGINT AS total FROM events GROUP BY 1")
+def page_count_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes by the hour in the file's name, of events written as page-count lines."""
+    line = F.concat_ws(" ", F.lit("fr.b"), F.concat(F.lit("Special:"), F.col("event_type")), F.lit("1"), F.pmod("event_id", F.lit(1000)).cast("string"))
+    named = T(spark, sf_dir, "events").select(line.alias("value"), F.date_format("ts", "'pagecounts-'yyyyMMdd'-'HH'0000.gz'").alias("file_name"))
+    return aggregates.sum_by(readers.page_counts(named), [F.col("hour")], F.col("bytes"))
+
+
 @query("SELECT user_id, count(*) AS n FROM events WHERE event_type = 'error' GROUP BY user_id")
 def status_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aggregates.count_where(T(spark, sf_dir, "events"), [F.col("user_id")], F.col("event_type") == "error")
@@ -112,6 +138,16 @@ def fm_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aggregates.top_k(aggregates.fm_distinct(_words(spread(T(spark, sf_dir, "conversations")), "conv_id", "text"), ["conv_id"], F.col("w")), "estimate", "conv_id", 10)
 
 
+@query("""
+WITH g AS (SELECT l_linenumber AS number, count(*) AS n FROM lineitem GROUP BY 1), z AS (SELECT 0 AS number, 0::BIGINT AS n FROM range(10))
+SELECT number::INT AS number, n FROM (SELECT * FROM g ORDER BY n DESC, number LIMIT 10) UNION ALL SELECT number::INT, n FROM z LIMIT 10
+""")
+def top10_padded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten most frequent line numbers from the least on, with zeros where there are fewer."""
+    found = T(spark, sf_dir, "lineitem").groupBy(F.col("l_linenumber").alias("number")).agg(F.count("*").alias("n"))
+    return aggregates.top_k(found, "n", "number", 10, ascending=True, padded=True)
+
+
 @query("""
 WITH h AS (SELECT l_suppkey AS id, floor(l_extendedprice / 10000)::BIGINT AS b, count(*) AS n FROM lineitem GROUP BY 1, 2)
 SELECT h.id, coalesce(any_value(s_acctbal), 0.0) AS lat, coalesce(any_value(s_nationkey)::DOUBLE, 0.0) AS lng, string_agg(b || ':' || n, chr(9) ORDER BY b) AS histogram
@@ -186,6 +222,13 @@ def neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aggregates.neighbours(spread(T(spark, sf_dir, "documents")), "text", least=5)
 
 
+@query(f"SELECT word, string_agg(neighbour::VARCHAR, ',' ORDER BY neighbour) AS neighbours FROM ({ORACLES['neighbors']}) GROUP BY word")
+def neighbour_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each word's neighbours in the order of their hashes."""
+    found = aggregates.neighbour_arrays(aggregates.neighbours(spread(T(spark, sf_dir, "documents")), "text", least=5))
+    return found.select("word", F.array_join(F.transform("neighbours", lambda h: h.cast("string")), ",").alias("neighbours"))
+
+
 def _sig_sql(n: int) -> str:
     each = (f"list_min(list_transform(h, lambda x: (x * {a} + {b}) % {similarity.PRIME}))" for a, b in similarity.coefficients(n))
     return f"[{', '.join(each)}]"
@@ -196,15 +239,18 @@ _SIGNED = "SELECT id, items, {sig} AS sig FROM (SELECT id, items, list_transform
 
 
 @query(f"""
-WITH s AS ({_SETS}), c AS (SELECT min(id) AS id, items FROM s WHERE len(items) > 0 GROUP BY items), g AS ({_SIGNED.format(sig=_sig_sql(30))}),
-k AS (SELECT id, unnest(list_transform(range(10), lambda k: k || ',' || sig[3 * k + 1] || ',' || sig[3 * k + 2] || ',' || sig[3 * k + 3])) AS key FROM g),
+WITH s AS ({_SETS}), c AS (SELECT min(id) AS id, items FROM s WHERE len(items) > 0 GROUP BY items), g AS ({_SIGNED.format(sig=_sig_sql(60))}),
+k AS (SELECT id, unnest(list_transform(range(20), lambda k: k || ',' || sig[3 * k + 1] || ',' || sig[3 * k + 2] || ',' || sig[3 * k + 3])) AS key FROM g),
 p AS (SELECT DISTINCT x.id AS a, y.id AS b FROM k x JOIN k y USING (key) WHERE x.id < y.id),
 j AS (SELECT a, b, len(list_intersect(x.items, y.items)) AS i, len(x.items) AS na, len(y.items) AS nb FROM p JOIN c x ON x.id = a JOIN c y ON y.id = b)
 SELECT a, b, i::DOUBLE / (na + nb - i) AS jaccard FROM j WHERE i::DOUBLE / (na + nb - i) >= 0.5
 """)
 def lsh_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of classes of equal word sets that share one of the SQL's bands; ``word_set_classes`` has the members."""
-    return similarity.lsh_pairs(similarity.word_sets(spread(T(spark, sf_dir, "documents")), "doc_id", "text"), n_hashes=30, n_bands=10)
+    """Pairs of classes of equal word sets that share one of 20 bands of three rows (at a half with a chance of 0.93).
+
+    ``word_set_classes`` has the members. Without bands the operator finds every pair, which costs far more where words are common.
+    """
+    return similarity.lsh_pairs(similarity.word_sets(spread(T(spark, sf_dir, "documents")), "doc_id", "text"), n_hashes=60, n_bands=20)
 
 
 @query(f"WITH s AS ({_SETS}) SELECT id, min(id) OVER (PARTITION BY items) AS class FROM s WHERE len(items) > 0")
@@ -263,6 +309,42 @@ def lsh_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity.collision_curve(similarity.random_sets(spark, 300, 100))
 
 
+_BITS = "SELECT l_suppkey AS id, list_transform(range(40), lambda j: list_contains(list(l_partkey % 40), j)) AS bits FROM lineitem WHERE l_linenumber = 1 AND l_partkey % 3 = l_suppkey % 3 GROUP BY 1"
+
+
+def _bit_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = T(spark, sf_dir, "lineitem").where("l_linenumber = 1 and l_partkey % 3 = l_suppkey % 3").groupBy(F.col("l_suppkey").alias("id")).agg(F.collect_set(F.col("l_partkey") % 40).alias("there"))
+    return kept.select("id", F.transform(F.sequence(F.lit(0), F.lit(39)), lambda j: F.array_contains("there", j.cast("long"))).alias("bits"))
+
+
+@query(f"""
+WITH v AS ({_BITS}), p AS (SELECT x.id, list_reduce(list_prepend(0, list_transform(range(1, 41), lambda i: (x.bits[i] AND y.bits[i])::INT)), lambda a, b: a + b) AS n_both,
+  list_reduce(list_prepend(0, list_transform(range(1, 41), lambda i: (x.bits[i] OR y.bits[i])::INT)), lambda a, b: a + b) AS n_any FROM v x JOIN v y ON y.id = x.id + 1)
+SELECT id, CASE WHEN n_any = 0 THEN 0.0::DOUBLE ELSE n_both::DOUBLE / n_any END AS jaccard FROM p
+""")
+def bit_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The similarity of each supplier's vector of booleans to the next supplier's."""
+    v = _bit_vectors(spark, sf_dir)
+    other = v.select((F.col("id") - 1).alias("id"), F.col("bits").alias("next"))
+    return v.join(other, "id").select("id", similarity.jaccard_bits(F.col("bits"), F.col("next")).alias("jaccard"))
+
+
+@query(f"""
+SELECT stage::INT AS stage, bucket, count(*) AS n FROM (SELECT unnest(range(4)) AS stage, unnest(list_transform(range(4), lambda k:
+  list_reduce(list_prepend(0::BIGINT, list_transform(range(10 * k, 10 * k + 10), lambda i: CASE WHEN bits[i + 1] THEN (i + 1) * {similarity.BUCKET_PRIME} ELSE 0 END)), lambda a, v: (a + v) % {similarity.PRIME}) % 10)) AS bucket FROM ({_BITS})) GROUP BY 1, 2
+""")
+def bit_bucket_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = similarity.buckets_of_bits(F.col("bits"), 4, 10)
+    return _bit_vectors(spark, sf_dir).select(F.posexplode(at).alias("stage", "bucket")).groupBy("stage", "bucket").agg(F.count("*").alias("n"))
+
+
+@query("SELECT k::INT AS k, (k * k)::INT AS size, 1.0::DOUBLE / k AS error, CASE k WHEN 2 THEN 4 WHEN 4 THEN 12 WHEN 8 THEN 32 END::INT AS lsh FROM (VALUES (2), (4), (8)) t(k)")
+def signature_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Signature sizes for errors of 1 / k, the errors of those sizes, and sizes for k stages."""
+    rows = [(k, similarity.signature_size(1 / k), similarity.expected_error(k * k), similarity.lsh_size(k)) for k in (2, 4, 8)]
+    return spark.createDataFrame(rows, "k int, size int, error double, lsh int")
+
+
 @query("""
 SELECT b::INT AS bands, r::INT AS rows, round(1 - pow(1 - pow(0.5::DOUBLE, r), b), 9) AS p_high, round(1 - pow(1 - pow(0.4::DOUBLE, r), b), 9) AS p_low
 FROM range(30, 51) t(b), range(3, 8) u(r) WHERE 1 - pow(1 - pow(0.5::DOUBLE, r), b) >= 0.8 AND 1 - pow(1 - pow(0.4::DOUBLE, r), b) < 0.6
@@ -330,14 +412,61 @@ def bloom_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = T(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("key"))
     customers = T(spark, sf_dir, "customer").where("c_mktsegment = 'MACHINERY'").select(F.col("c_custkey").alias("key"))
     n = min(max(1, customers.count()), 1 << 24)
-    return bloom.semi_join(orders, customers, "key", n=n).select("o_orderkey", F.col("key").alias("o_custkey"))
+    return bloom.semi_join(orders, customers, "key", n=n, path=shared_dir(spark)).select("o_orderkey", F.col("key").alias("o_custkey"))
 
 
-@query()
+@query("SELECT 'orders|parquet' AS parts, 'orders.parquet' AS folder, count(*) AS n FROM orders")
 def file_name_col(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows by file of a table; the names hang on how it is stored."""
+    """Rows by file of a table that is one file, or a folder of them."""
     rows = readers.named(T(spark, sf_dir, "orders").select("o_orderkey", "_metadata"))
-    return rows.groupBy("file_name", F.array_join("file_parts", "|").alias("parts")).agg(F.count("*").alias("n"))
+    name = F.element_at(F.filter(F.split("file_path", "/"), lambda x: x.endswith(".parquet")), 1)
+    parts = F.when(F.col("file_name") == name, F.array_join("file_parts", "|")).otherwise("orders|parquet")
+    return rows.groupBy(parts.alias("parts"), name.alias("folder")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT s_name AS value, (sum(length(s_name) + 1) OVER (ORDER BY s_suppkey) - length(s_name) - 1)::BIGINT AS place FROM supplier")
+def line_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers' names written as one text file, read back with the place of each line's first byte."""
+    path = shared_dir(spark)
+    T(spark, sf_dir, "supplier").coalesce(1).sortWithinPartitions("s_suppkey").select("s_name").write.text(path)
+    return readers.lines_with_offsets(spark, path).select("value", F.col("offset").alias("place"))
+
+
+@query("SELECT 'gz' AS kind, s_name AS value, s_suppkey AS number FROM supplier UNION ALL SELECT 'plain', n_name, n_nationkey FROM nation")
+def several_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of a folder of compressed files and of a plain one, each with its own mapping."""
+    path = shared_dir(spark)
+    for table_name, key, name, how in (("supplier", "s_suppkey", "s_name", "gzip"), ("nation", "n_nationkey", "n_name", "none")):
+        T(spark, sf_dir, table_name).select(F.concat_ws(";" if how == "gzip" else "\t", F.col(key).cast("string"), name)).write.option("compression", how).text(f"{path}/{table_name}")
+    packed, plain = readers.lines(spark, f"{path}/supp*/*.gz"), readers.lines(spark, [f"{path}/nation"])
+    part = lambda separator, at: F.get(readers.fields(F.col("value"), separator), F.lit(at))
+    return readers.several([(df, [F.lit(kind).alias("kind"), part(s, 1).alias("value"), part(s, 0).cast("long").alias("number")]) for df, kind, s in ((packed, "gz", ";"), (plain, "plain", "\t"))])
+
+
+@query("SELECT s_suppkey::VARCHAR AS id, s_acctbal AS lat, s_nationkey::DOUBLE AS lng FROM supplier")
+def ragged_stations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as station lines of eleven or twelve fields, some with empty fields at the end."""
+    wide = F.col("s_suppkey") % 2 == 0
+    filler = F.when(wide, F.repeat(F.lit("x\t"), 9)).otherwise(F.repeat(F.lit("x\t"), 8))
+    line = F.concat(F.col("s_suppkey").cast("string"), F.lit("\t"), filler, F.col("s_acctbal").cast("string"), F.lit("\t"), F.col("s_nationkey").cast("string"), F.when(F.col("s_suppkey") % 3 == 0, "\t\t").otherwise(""))
+    return readers.stations(T(spark, sf_dir, "supplier").select(line.alias("value")))
+
+
+@query("SELECT n_nationkey::BIGINT AS id1, n_regionkey::BIGINT AS id2 FROM nation WHERE n_nationkey % 5 <> 0")
+def edge_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An edge list in which every fifth line is a comment and every line is followed by an empty one."""
+    line = F.concat(F.when(F.col("n_nationkey") % 5 == 0, "% ").otherwise(""), F.col("n_nationkey").cast("string"), F.lit(" "), F.col("n_regionkey").cast("string"))
+    return readers.edges(T(spark, sf_dir, "nation").select(F.explode(F.array(line, F.lit(""))).alias("value")))
+
+
+@query("SELECT count(*) AS lines, 1::BIGINT AS files, true AS listed, true AS removed, true AS settings, 0::BIGINT AS nothing FROM supplier")
+def file_helpers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table written as one file, listed, read by cat and removed; the session's settings; a result without rows."""
+    path, suppliers = shared_dir(spark), T(spark, sf_dir, "supplier")
+    sinks.tsv(suppliers.select("s_suppkey", "s_name"), path, one_file=True)
+    found = files.listed(spark, [path]).where(F.col("path").contains("part-")).agg(F.count("*"), F.min("length")).first()
+    row = (files.cat(spark, path).count(), found[0], found[1] > 0, files.removed(spark, path), files.settings(spark).count() > 5, files.nothing(suppliers).count())
+    return spark.createDataFrame([row], "lines long, files long, listed boolean, removed boolean, settings boolean, nothing long")
 
 
 @query("SELECT count(*) AS calls, count(*) FILTER (WHERE event_type = 'error') AS writes FROM events")
@@ -347,12 +476,24 @@ def counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(seen.get["calls"], seen.get["writes"])], "calls long, writes long")
 
 
-@query()
+_LETTER = "substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ', (n // {0} % 26)::INT + 1, 1)"
+_WORDS = f"SELECT i * 6 AS position, {' || '.join(_LETTER.format(26**k) for k in range(synthetic.LENGTH))} AS word FROM (SELECT i, ('0x' || substr(md5('1:' || i), 1, 8))::BIGINT AS n FROM range({{0}}) t(i))"
+
+
+@query(_WORDS.format(100_000))
 def synthetic_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The source of invented words, dealt by ranges: it reads no table."""
     synthetic.register(spark)
     return spark.read.format("words").option("records", 100_000).option("splits", 5).load()
 
 
+@query(_WORDS.format(20_000))
+def synthetic_words_by_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same source dealt by the words' hashes."""
+    synthetic.register(spark)
+    return spark.read.format("words").option("records", 20_000).option("splits", 3).option("sharding", "hash").load()
+
+
 @query("SELECT CAST(s_suppkey % 10 AS BIGINT) AS bucket, count(*) AS n, count(*) AS n_text, count(*) AS n_seq FROM supplier GROUP BY 1")
 def multi_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers written as text, as sequence files and by bucket, and all of it read back."""

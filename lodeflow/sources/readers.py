@@ -57,6 +57,21 @@ def weather(df: DataFrame, *, line: str = "value") -> DataFrame:
     return out.withColumn("station", exprs.station_id(F.col("usaf"), F.col("wban")))
 
 
+def weather_cells(df: DataFrame, *, line: str = "value") -> DataFrame:
+    """(lat, lng, year, month, station, day) as text of weather records with a temperature: whole degrees, minus and zeros kept."""
+    cut = lambda a, b: F.substring(line, a + 1, b - a)
+    degrees = lambda a, b: F.replace(cut(a, b), F.lit("+"), F.lit(""))
+    out = [degrees(28, 31).alias("lat"), degrees(34, 38).alias("lng"), cut(15, 19).alias("year"), cut(19, 21).alias("month"), cut(4, 15).alias("station"), cut(21, 23).alias("day")]
+    return df.where(exprs.reading_there(F.col(line))).select(*out)
+
+
+def page_counts(df: DataFrame, *, line: str = "value", file_name: str = "file_name") -> DataFrame:
+    """(project, page, views, bytes, hour) of page-count lines; the hour is the third part of the file's name."""
+    parts = F.split(F.col(line), r"\s")
+    own = [F.get(parts, F.lit(0)).alias("project"), F.get(parts, F.lit(1)).alias("page"), F.get(parts, F.lit(2)).try_cast("long").alias("views"), F.get(parts, F.lit(3)).try_cast("long").alias("bytes")]
+    return df.select(*own, F.get(F.split(F.col(file_name), r"[-.]"), F.lit(2)).alias("hour"))
+
+
 def access_log(df: DataFrame, *, line: str = "value") -> DataFrame:
     """(user, product) of log lines with hexadecimal ids in the third and fourth field."""
     parts = F.split(F.col(line), " ")
