@@ -1,8 +1,11 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
+from collections import Counter, defaultdict
 
+import regex
 from pyspark.sql import functions as F
 
 from lodeflow.llm import pii
@@ -63,3 +66,65 @@ def test_contexts_find_unseen_identifiers_and_redaction(spark):
 def test_overlapping_spans_are_redacted_once(spark):
     df = spark.createDataFrame([(1, "a +1 (974) 555-3436 b x.1@y.com +4111111111111111 end")], "doc_id long, text string")
     assert pii.redacted(df).first().text in ("a <PHONE> b <EMAIL> +<CARD> end", "a <PHONE> b <EMAIL> <PHONE> end")
+
+
+def added(rows):
+    """Spans that the method adds, by its definition, in plain Python."""
+    c = r"\p{L}0-9@._%+/=-"
+    token = regex.compile(rf"(?<![{c}])(?=[\p{{L}}._%+/=-]*+[0-9@])[{c}]++")
+    said = []
+    for i, text in rows:
+        base, last = brute(text), None
+        for m in token.finditer(text):
+            value = m[0].rstrip("._%+/=-")
+            before = re.search(r"(\S*)\s*\Z", (last[0] if last else "") + text[last.end() if last else 0 : m.start()], re.A)
+            kind = next((k for k, name in enumerate(pii.KINDS) if any(b[0] == name and b[1] < m.start() + len(value) and b[2] > m.start() for b in base)), None)
+            shape = regex.sub(r"\p{L}+", "a", re.sub("[0-9]+", "0", value))
+            said.append((i, m.start(), m.start() + len(value), (re.sub("[0-9]+", "0", before[1].lower()), shape), value.lower(), kind))
+            last = m
+    edges = defaultdict(lambda: [0] * 5)
+    for _, _, _, pattern, value, kind in said:
+        edges[pattern, value][0] += 1
+        if kind is not None:
+            edges[pattern, value][kind + 1] += 1
+    own = defaultdict(lambda: [0] * 5)
+    for (_, value), n in edges.items():
+        own[value] = [a + b for a, b in zip(own[value], n)]
+    score = {v: [x / n[0] for x in n[1:]] for v, n in own.items()}
+    for _ in range(3):
+        pattern, support, total = defaultdict(lambda: [0.0] * 4), Counter(), Counter()
+        for (p, v), n in edges.items():
+            pattern[p] = [a + n[0] * s for a, s in zip(pattern[p], score[v])]
+            support[p] += sum(n[1:]) > 0
+            total[p] += n[0]
+        pattern = {p: [x / (total[p] + 1) for x in xs] for p, xs in pattern.items()}
+        for v, n in own.items():
+            if not sum(n[1:]):
+                mine = [(p, m[0]) for (p, w), m in edges.items() if w == v]
+                score[v] = [sum(k * pattern[p][j] for p, k in mine) / n[0] for j in range(4)]
+    out = defaultdict(set)
+    for i, a, b, p, v, kind in said:
+        if kind is None and support[p] >= 5:
+            out[i] |= {f"{pii.KINDS[k]}:{a}:{b}" for k in range(4) if pattern[p][k] >= 0.9 and score[v][k] >= 0.9}
+    return out
+
+
+def test_added_spans_equal_the_definition(spark):
+    rng = random.Random(1)
+    rows = [(i, f"{rng.choice(['call host', 'see', 'IP:', 'x'])} 10.0.{i}.{rng.choice([7, 7, 7, 300])} then +49 30 {1000000 + i} and mail b{i}@x{rng.choice(['.org', '.org', ''])} end 4{i}") for i in range(300)]
+    rows += [(1000 + i, f"call {'x' * 60 if i % 2 else 'y' * 90} 10.0.{i}.7 now") for i in range(40)] + [(1100, "see " + "y" * 90 + " " * 100 + "10.0.300.7 now"), (1101, "see " + "y" * 91 + " 10.0.300.8 now")]
+    want, hits = added(rows), 0
+    for r in pii.report(spark.createDataFrame(rows, "doc_id long, text string"), confidence=0.9).collect():
+        base = {f"{k}:{a}:{b}" for k, a, b in brute(dict(rows)[r.doc_id])}
+        assert set(filter(None, r.spans.split(","))) == base | want[r.doc_id], rows[r.doc_id]
+        hits += len(want[r.doc_id])
+    assert hits > 5 and want[1100] == {"ip:194:204"} and not want[1101]
+
+
+def test_redaction_of_many_and_overlapping_spans_and_helper_names(spark):
+    many = " ".join(f"é😀 10.0.{i % 250}.7 +1 (974) 555-{1000 + i % 9000}" for i in range(1500))
+    names = ["id", "hash", "spans", "key", "more", "every", "text_hash", "_key"]
+    df = spark.createDataFrame([(1, many, *range(8)), (2, None, *range(8))], f"doc_id long, text string, {', '.join(f'{n} int' for n in names)}")
+    got = {r.doc_id: r for r in pii.redacted(df).collect()}
+    assert got[1].text == " ".join(["é😀 <IP> <PHONE>"] * 1500) and got[2].text is None
+    assert all([r[n] for n in names] == list(range(8)) for r in got.values()) and pii.redacted(df).columns == df.columns

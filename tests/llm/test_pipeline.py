@@ -35,3 +35,12 @@ def test_near_dedup_keeps_the_other_text_of_an_id(spark):
     copy, own = "one two three four five six seven", "eight nine ten eleven twelve thirteen"
     docs = spark.createDataFrame([(1, copy), (2, copy), (2, own), (2, ""), (3, copy), (4, "a b c d e f")], "doc_id long, text string")
     assert sorted(map(tuple, cp.near_dedup(spark, docs, "").collect())) == [(1, copy), (2, ""), (2, own), (4, "a b c d e f")]
+
+
+def test_near_dedup_decides_by_row_where_ids_repeat(spark):
+    a, b, c = ("one two three four five six seven", "eight nine ten eleven twelve thirteen", "red green blue black white brown")
+    rows = [(1, a, 0), (5, a, 1), (5, b, 2), (5, c, 3), (7, c + " x", 4), (7, c + " x", 3), (None, a, 5), (8, None, 6)]
+    df = spark.createDataFrame([(i, t, k, k, k) for i, t, k in rows], "doc_id long, text string, id int, node int, kept int")
+    got = cp.near_dedup(spark, df, "")
+    assert got.columns == df.columns
+    assert sorted(((r.doc_id, r.text, r.id) for r in got.collect()), key=repr) == sorted([(1, a, 0), (5, b, 2), (5, c, 3), (7, c + " x", 3), (None, a, 5), (8, None, 6)], key=repr)

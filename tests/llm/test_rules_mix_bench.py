@@ -7,6 +7,8 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
+
 from lodeflow.llm import automaton, fertility, mixing
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -125,3 +127,62 @@ def test_cleaned_takes_out_deeply_nested_passages(spark):
     docs = spark.createDataFrame([(1, f"keep {nested} this")], "doc_id long, text string")
     out = automaton.cleaned(docs, spark.createDataFrame([(1, "a b c")], "item_id long, text string"), window=3)
     assert [r.text.split() for r in out.collect()] == [["keep", "this"]]
+
+
+def test_fertility_figures_equal_plain_counts(spark):
+    import base64
+    import math
+
+    import sentencepiece
+    import tiktoken
+
+    pieces = sentencepiece.SentencePieceProcessor(model_file=f"{fertility.TOKENIZERS}/piece_bpe_32k.model")
+    with open(f"{fertility.TOKENIZERS}/byte_bpe_multi_50k.tiktoken", "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    bpe = tiktoken.Encoding("plain", pat_str=r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""", mergeable_ranks=ranks, special_tokens={})
+    rows = documents(spark)[:150] + [(5000 + i, t, None, "s") for i, t in enumerate(ODD)]
+    df = spark.createDataFrame([r[:3] for r in rows], "doc_id long, text string, lang string")
+    by = {r[0]: r for r in rows}
+    for r in fertility.judged(df).collect():
+        words = WORD.findall(by[r.doc_id][1] or "")
+        ids = [i for w in words for i in pieces.encode(w)]
+        level = sum(len(bpe.encode_ordinary(f" {w}")) for w in words)
+        n, chars = len(ids), sum(map(len, words))
+        want = (n, chars / n, chars / level, sum(pieces.is_byte(i) for i in ids) / n, math.log2(n) - sum(k * math.log2(k) for k in Counter(ids).values()) / n) if n else (0, 0.0, 0.0, 0.0, 0.0)
+        assert all(abs(a - b) < 1e-9 for a, b in zip((r.n_tokens, r.chars_per_token, r.byte_level_chars, r.byte_share, r.token_entropy), want, strict=True))
+        band = fertility.BANDS.get(by[r.doc_id][2] or "") or fertility.BANDS[fertility.script(by[r.doc_id][1] or "")]
+        inside = band.pieces[0] <= want[1] <= band.pieces[1] and band.byte_level[0] <= want[2] <= band.byte_level[1] and want[3] <= band.byte_share and band.entropy[0] <= want[4] <= band.entropy[1]
+        assert r.kept == (not r.base_failed and inside)
+
+
+def test_flight_keeps_both_totals_and_the_probabilities():
+    rng = np.random.default_rng(5)
+    p, size = rng.random(60), rng.integers(1, 500, 60).astype(float)
+    drawn = np.zeros(60)
+    for seed in range(3000):
+        out = mixing.flight(p, size, np.random.default_rng(seed))
+        assert abs(out.sum() - p.sum()) < 1e-6 and abs(out @ size - p @ size) < 1e-3 and ((out > 0) & (out < 1)).sum() <= 2
+        drawn += out
+    assert np.abs(drawn / 3000 - p).max() < 0.06
+
+
+def test_document_totals_repeats_and_many_sources(spark):
+    rng = random.Random(2)
+    rows = [(i, "w " * rng.randint(1, 60), f"s{i % 4}") for i in range(3000)] + [(7, "a b c", "hot")] * 900 + [(8, f"a b {i}", "hot") for i in range(400)] + [(None, "x y", None)] * 5
+    names = ["key", "place", "picked", "tie", "part", "own", "size", "n"]
+    df = spark.createDataFrame([(*r, *range(8)) for r in rows], f"doc_id long, text string, source string, {', '.join(f'{n} int' for n in names)}").repartition(4)
+    got = mixing.mixed(df).collect()
+    assert len(got) == len(rows)
+    for s in {r.source for r in got}:
+        own = [r for r in got if r.source == s]
+        each = own[0].target / own[0].source_size
+        assert abs(sum(r.copies for r in own) - each * len(own)) < 2 and abs(sum(r.taken for r in own) - own[0].target) <= 2 * min(max(r.size for r in own), 60)
+    mix = mixing.mixture(df)
+    assert mix.columns == [*df.columns, "copies"]
+    total = Counter()
+    for r in mix.collect():
+        total[r.source] += r.copies
+        assert [r[n] for n in names] == list(range(8))
+    assert total == Counter({s: n for s in {r.source for r in got} if (n := sum(r.copies for r in got if r.source == s))})
+    many = sorted((tuple(r) for r in mixing.mixed(df, most_sources=2).collect()), key=repr)
+    assert [(r[0], r[1], r[5]) for r in many] == [(r[0], r[1], r[5]) for r in sorted(map(tuple, got), key=repr)]
