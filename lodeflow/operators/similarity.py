@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from lodeflow.functions import exprs
 
@@ -99,26 +100,44 @@ def classes(sets: DataFrame) -> DataFrame:
     return sets.where(F.size("items") > 0).groupBy(digest.alias("_d")).agg(F.min("id").alias("id"), F.first("items").alias("items")).select("id", "items")
 
 
+def signatures(sets: DataFrame, n_hashes: int) -> DataFrame:
+    """(id, sig): the signatures of ``signed`` by one aggregation over the items, whose partial results leave a task once an id.
+
+    For many hashes: the minima are compiled, while ``signed`` works through lambdas. Ids don't repeat; empty sets have no row.
+    """
+    own = sets.select("id", F.explode("items").alias("item")).select("id", exprs.md5_32(F.col("item").cast("string")).alias("h"))
+    least = (F.min(F.pmod(F.col("h") * a + b, F.lit(PRIME))).alias(f"s{k}") for k, (a, b) in enumerate(coefficients(n_hashes)))
+    return own.groupBy("id").agg(*least).select("id", F.array(*(f"s{k}" for k in range(n_hashes))).alias("sig"))
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The pairs whose whole sets are similar enough; strings are compared by 64-bit hashes, which are less to move."""
+    if isinstance(sets.schema["items"].dataType.elementType, StringType):
+        sets = sets.select("id", F.transform("items", lambda v: F.xxhash64(v)).alias("items"))
     a = sets.select(F.col("id").alias("a"), F.col("items").alias("a_items"))
     b = sets.select(F.col("id").alias("b"), F.col("items").alias("b_items"))
     out = pairs.join(a, "a").join(b, "b").select("a", "b", exprs.jaccard(F.col("a_items"), F.col("b_items")).alias("jaccard"))
     return out.where(F.col("jaccard") >= least)
 
 
+def _near(least: float) -> Column:
+    """Whether the sizes a_n and b_n of two sets let them be similar enough."""
+    return F.least("a_n", "b_n") >= least * F.greatest("a_n", "b_n") - 1e-9
+
+
 def lsh_pairs(sets: DataFrame, *, n_hashes: int | None = None, n_bands: int = 10, least: float = 0.5) -> DataFrame:
     """(a, b, jaccard): pairs of classes of equal sets that are similar enough, a < b; all of them, by ``similar_pairs``.
 
-    With n_hashes only pairs that share a band are found, and some near ``least`` are missed. Signatures are made inside the
-    row; the exchange holds a key for each band. Copies are one row from the start.
+    With n_hashes only pairs that share a band are found, and some near ``least`` are missed. The exchange holds a key for each
+    band; pairs whose sizes differ too much end in the join. Copies are one row from the start. Ids don't repeat.
     """
     if n_hashes is None:
         return similar_pairs(sets, least=least)
     reps = classes(sets)
-    keys = reps.select("id", F.explode(banded(F.col("items"), n_hashes, n_bands)).alias("key"))
-    other = keys.select(F.col("id").alias("b"), "key")
-    pairs = keys.select(F.col("id").alias("a"), "key").join(other, "key").where("a < b").select("a", "b").distinct()
-    return _verified(pairs, reps, least)
+    keys = signatures(reps, n_hashes).join(reps.select("id", F.size("items").alias("n")), "id")
+    keys = keys.select("id", "n", F.explode(bands(F.col("sig"), n_bands, n_hashes // n_bands)).alias("key"))
+    a, b = (keys.select(F.col("id").alias(c), F.col("n").alias(f"{c}_n"), "key") for c in "ab")
+    return _verified(a.join(b, "key").where((F.col("a") < F.col("b")) & _near(least)).select("a", "b").distinct(), reps, least)
 
 
 def similar_pairs(sets: DataFrame, *, least: float = 0.5) -> DataFrame:
@@ -134,8 +153,7 @@ def similar_pairs(sets: DataFrame, *, least: float = 0.5) -> DataFrame:
     keep = (F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1).cast("int")
     front = ranked.select("id", "n", F.explode(F.slice(F.col("x"), F.lit(1), keep)).alias("e")).where("e.df > 1").select("id", "n", F.col("e.item").alias("item"))
     a, b = (front.select(F.col("id").alias(c), F.col("n").alias(f"{c}_n"), "item") for c in "ab")
-    near = (F.col("a") < F.col("b")) & (F.least("a_n", "b_n") >= least * F.greatest("a_n", "b_n") - 1e-9)
-    return _verified(a.join(b, "item").where(near).select("a", "b").distinct(), reps, least)
+    return _verified(a.join(b, "item").where((F.col("a") < F.col("b")) & _near(least)).select("a", "b").distinct(), reps, least)
 
 
 def block_pairs(sets: DataFrame, blocks: int) -> DataFrame:
@@ -173,13 +191,24 @@ def random_sets(spark: SparkSession, n: int, dimensions: int) -> DataFrame:
     return spark.range(n).select("id", F.filter(F.sequence(F.lit(0), F.lit(dimensions - 1)), there).alias("items"))
 
 
-def collision_curve(sets: DataFrame, *, n_hashes: int = 20, n_bands: int = 10, block: int = 64) -> DataFrame:
-    """(decile, pairs, collided): by tenths of similarity, how many pairs there are and how many share a band."""
-    keyed = sets.select("id", F.struct("items", banded(F.col("items"), n_hashes, n_bands).alias("keys")).alias("items"))
-    pairs = block_pairs(keyed, max(1, -(-sets.count() // block)))
-    j = exprs.jaccard(F.col("a_items.items"), F.col("b_items.items"))
-    met = F.arrays_overlap(F.col("a_items.keys"), F.col("b_items.keys"))
-    return pairs.select(F.floor(j * 10 + 1e-9).cast("int").alias("decile"), met.alias("met")).groupBy("decile").agg(F.count("*").alias("pairs"), F.count_if("met").alias("collided"))
+def collision_curve(sets: DataFrame, *, stages: Sequence[int] = range(1, 11), n_buckets: int = 10, block: int = 64) -> DataFrame:
+    """(stages, decile, pairs, collided): for each number of stages, by tenths of similarity, how many pairs there are and how
+    many share a stage's bucket.
+
+    ``lsh_size`` of the stages is the length of their signatures; all are beginnings of one. A pair is met once for all numbers.
+    """
+
+    def placed(sig: Column, n: int) -> Column:
+        size = lsh_size(n)
+        return F.transform(buckets(F.slice(sig, 1, size), n, size // n, n_buckets), lambda v, k: k * n_buckets + v)
+
+    placings = F.transform(F.array(signed(F.col("items"), max(map(lsh_size, stages)))), lambda sig: F.array(*(placed(sig, n) for n in stages)))[0]
+    pairs = block_pairs(sets.select("id", F.struct("items", placings.alias("at")).alias("items")), max(1, -(-sets.count() // block)))
+    decile = F.floor(exprs.jaccard(F.col("a_items.items"), F.col("b_items.items")) * 10 + 1e-9).cast("int").alias("decile")
+    met = [F.arrays_overlap(F.col("a_items.at")[i], F.col("b_items.at")[i]) for i in range(len(stages))]
+    counted = pairs.groupBy(decile).agg(F.count("*").alias("pairs"), F.array(*map(F.count_if, met)).alias("met"))
+    rows = F.inline(F.array(*(F.struct(F.lit(n).alias("stages"), F.get("met", F.lit(i)).alias("collided")) for i, n in enumerate(stages))))
+    return counted.select("decile", "pairs", rows).select("stages", "decile", "pairs", "collided")
 
 
 def s_curve_grid(spark: SparkSession, *, n_bands: tuple[int, int] = (30, 50), rows: tuple[int, int] = (3, 7), high: tuple[float, float] = (0.5, 0.8), low: tuple[float, float] = (0.4, 0.6)) -> DataFrame:

@@ -239,18 +239,16 @@ _SIGNED = "SELECT id, items, {sig} AS sig FROM (SELECT id, items, list_transform
 
 
 @query(f"""
-WITH s AS ({_SETS}), c AS (SELECT min(id) AS id, items FROM s WHERE len(items) > 0 GROUP BY items), g AS ({_SIGNED.format(sig=_sig_sql(60))}),
-k AS (SELECT id, unnest(list_transform(range(20), lambda k: k || ',' || sig[3 * k + 1] || ',' || sig[3 * k + 2] || ',' || sig[3 * k + 3])) AS key FROM g),
-p AS (SELECT DISTINCT x.id AS a, y.id AS b FROM k x JOIN k y USING (key) WHERE x.id < y.id),
-j AS (SELECT a, b, len(list_intersect(x.items, y.items)) AS i, len(x.items) AS na, len(y.items) AS nb FROM p JOIN c x ON x.id = a JOIN c y ON y.id = b)
-SELECT a, b, i::DOUBLE / (na + nb - i) AS jaccard FROM j WHERE i::DOUBLE / (na + nb - i) >= 0.5
+WITH s AS ({_SETS}), c AS (SELECT min(id) AS id, items, len(items) AS n FROM s WHERE len(items) > 0 GROUP BY items),
+j AS (SELECT x.id AS a, y.id AS b, len(list_intersect(x.items, y.items)) AS i, x.n + y.n AS n FROM c x JOIN c y ON x.id < y.id AND 2 * x.n >= y.n AND 2 * y.n >= x.n)
+SELECT a, b, i::DOUBLE / (n - i) AS jaccard FROM j WHERE i::DOUBLE / (n - i) >= 0.5
 """)
 def lsh_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of classes of equal word sets that share one of 20 bands of three rows (at a half with a chance of 0.93).
+    """Pairs of classes of equal word sets that share one of 60 bands of three rows (at a half with a chance of 0.9997).
 
-    ``word_set_classes`` has the members. Without bands the operator finds every pair, which costs far more where words are common.
+    ``word_set_classes`` has the members. The SQL compares all pairs.
     """
-    return similarity.lsh_pairs(similarity.word_sets(spread(T(spark, sf_dir, "documents")), "doc_id", "text"), n_hashes=60, n_bands=20)
+    return similarity.lsh_pairs(similarity.word_sets(spread(T(spark, sf_dir, "documents")), "doc_id", "text"), n_hashes=180, n_bands=60)
 
 
 @query(f"WITH s AS ({_SETS}) SELECT id, min(id) OVER (PARTITION BY items) AS class FROM s WHERE len(items) > 0")
@@ -296,17 +294,26 @@ def lsh_bucket_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity.bucket_counts(similarity.word_sets(spread(T(spark, sf_dir, "documents")), "doc_id", "text"))
 
 
+def _placed_sql(stages: int) -> str:
+    rows = similarity.lsh_size(stages) // stages
+    return f"list_transform(range({stages}), lambda k: 10 * k + list_reduce(list_prepend(0::BIGINT, sig[{rows} * k + 1:{rows} * k + {rows}]), lambda a, v: (a + v * {similarity.BUCKET_PRIME}) % 10))"
+
+
+_STAGES = range(1, 11)
+
+
 @query(f"""
 WITH d AS (SELECT i AS id, j, ('0x' || substr(md5('b:' || i // 10 || ':' || j), 1, 8))::BIGINT / 4294967296.0::DOUBLE < 0.25::DOUBLE AS b,
-  ('0x' || substr(md5('f:' || i || ':' || j), 1, 8))::BIGINT / 4294967296.0::DOUBLE < 0.02::DOUBLE * (i % 10) AS f FROM range(300) t(i), range(100) u(j)),
-c AS (SELECT id, list(j::VARCHAR ORDER BY j) FILTER (WHERE b <> f) AS items FROM d GROUP BY id), g AS ({_SIGNED.format(sig=_sig_sql(20))}),
-k AS (SELECT id, items, list_transform(range(10), lambda k: k || ',' || sig[2 * k + 1] || ',' || sig[2 * k + 2]) AS keys FROM g),
-p AS (SELECT len(list_intersect(x.items, y.items)) AS i, len(x.items) + len(y.items) AS n, list_has_any(x.keys, y.keys) AS met FROM k x JOIN k y ON x.id < y.id)
-SELECT floor(i::DOUBLE / (n - i) * 10 + 1e-9)::INT AS decile, count(*) AS pairs, count(*) FILTER (WHERE met) AS collided FROM p GROUP BY 1
+  ('0x' || substr(md5('f:' || i || ':' || j), 1, 8))::BIGINT / 4294967296.0::DOUBLE < 0.02::DOUBLE * (i % 10) AS f FROM range(2000) t(i), range(100) u(j)),
+c AS (SELECT id, list(j::VARCHAR ORDER BY j) FILTER (WHERE b <> f) AS items FROM d GROUP BY id), g AS ({_SIGNED.format(sig=_sig_sql(similarity.lsh_size(10)))}),
+k AS (SELECT id, items, {", ".join(f"{_placed_sql(n)} AS at{n}" for n in _STAGES)} FROM g),
+p AS (SELECT len(list_intersect(x.items, y.items)) AS i, len(x.items) + len(y.items) AS n, {", ".join(f"list_has_any(x.at{n}, y.at{n}) AS met{n}" for n in _STAGES)} FROM k x JOIN k y ON x.id < y.id),
+r AS (SELECT floor(i::DOUBLE / (n - i) * 10 + 1e-9)::INT AS decile, count(*) AS pairs, {", ".join(f"count(*) FILTER (WHERE met{n}) AS c{n}" for n in _STAGES)} FROM p GROUP BY 1)
+{" UNION ALL ".join(f"SELECT {n}::INT AS stages, decile, pairs, c{n} AS collided FROM r" for n in _STAGES)}
 """)
 def lsh_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An experiment of a fixed size over generated sets: it reads no table."""
-    return similarity.collision_curve(similarity.random_sets(spark, 300, 100))
+    """An experiment of a fixed size over generated sets, with one to ten stages: it reads no table."""
+    return similarity.collision_curve(similarity.random_sets(spark, 2000, 100), stages=_STAGES)
 
 
 _BITS = "SELECT l_suppkey AS id, list_transform(range(40), lambda j: list_contains(list(l_partkey % 40), j)) AS bits FROM lineitem WHERE l_linenumber = 1 AND l_partkey % 3 = l_suppkey % 3 GROUP BY 1"

@@ -200,10 +200,43 @@ def test_bloom_saved_top_k_and_sharding(spark):
         spark.read.format("words").option("splits", 0).load().collect()
 
 
-def test_banded_pairs_find_nine_in_ten(spark):
+def test_banded_pairs(spark):
     words = similarity.word_sets(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), "doc_id", "text")
-    every, banded = set(rows(similarity.lsh_pairs(words))), set(rows(similarity.lsh_pairs(words, n_hashes=60, n_bands=20)))
-    assert banded <= every and len(banded) >= 0.9 * len(every) > 0
+    every, banded = set(rows(similarity.lsh_pairs(words))), set(rows(similarity.lsh_pairs(words, n_hashes=180, n_bands=60)))
+    assert banded == every != set()
+    few = set(rows(similarity.lsh_pairs(words, n_hashes=60, n_bands=20)))
+    assert few <= every and len(few) >= 0.9 * len(every)
+
+
+def test_signatures(spark):
+    sets = spark.createDataFrame([(1, ["x", "y"]), (2, ["z"]), (3, [])], "id long, items array<string>")
+    got = dict(rows(similarity.signatures(sets, 12)))
+    assert got == {r.id: r.sig for r in sets.where("id < 3").select("id", similarity.signed(F.col("items"), 12).alias("sig")).collect()}
+
+
+def test_collision_curve(spark):
+    sets = similarity.random_sets(spark, 30, 40)
+    at = {r.id: (set(r["items"]), r.sig) for r in sets.select("id", "items", similarity.signed(F.col("items"), similarity.lsh_size(3)).alias("sig")).collect()}
+    want = {}
+
+    def placed(sig, n):
+        size = similarity.lsh_size(n) // n
+        out = []
+        for k in range(n):
+            h = 0
+            for v in sig[k * size : (k + 1) * size]:
+                h = (h + v * similarity.BUCKET_PRIME) % 10
+            out.append(h)
+        return out
+
+    for a in at:
+        for b in range(a):
+            j = len(at[a][0] & at[b][0]) / len(at[a][0] | at[b][0])
+            for n in (1, 3):
+                c = want.setdefault((n, int(j * 10 + 1e-9)), [0, 0])
+                c[0] += 1
+                c[1] += any(x == y for x, y in zip(placed(at[a][1], n), placed(at[b][1], n), strict=True))
+    assert {(s, d): [p, c] for s, d, p, c in rows(similarity.collision_curve(sets, stages=(1, 3)))} == want
 
 
 def test_workspace_removes_what_it_stored(spark):
