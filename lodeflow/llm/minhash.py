@@ -164,15 +164,16 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(node, label): the smallest node of each node's component, by alternating large and small stars (Kiveris and others, 2014).
 
-    The turns end when the edges stay the same, which they do: each turn only lowers the neighbours of the nodes.
+    The turns end when the edges stay the same, which they do: each turn only lowers the neighbours of the nodes. What is
+    aggregated is stored before its join: between plain tables Spark splits the rows of a node with many neighbours.
     """
     e = stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     before = None
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        small = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = stored(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")))
+        large = stored(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
+        small = stored(large.groupBy("u").agg(F.min("v").alias("m")))
         e = stored(
             large.join(small, "u").select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x"))
             .select("x.*").where("u <> v").distinct()
@@ -194,7 +195,8 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, bands
     sig = stored(signed(docs, words=words, bands=bands, rows=rows))
     classes = sig.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys"))
     cells = classes.select("node", "n", F.explode("keys").alias("key"))
-    met = cells.groupBy("key").agg(F.count("*").alias("size"), F.min("node").alias("first"), F.max("node").alias("last")).where("size > 1")
+    met = cells.groupBy("key").agg(F.count("*").alias("size"), F.min("node").alias("first"), F.max("node").alias("last"))
+    met = stored(met.where("size > 1"))  # a table of its own, like split below, so that Spark can split the members of a frequent key
     cells = stored(cells.join(met, "key").select("key", "size", "first", "last", "node", "n"))
     known = cells.select("node").distinct()
     wanted = sig.join(known, "node", "left_semi").select(F.col("doc_id").alias("wanted")).distinct()
@@ -206,7 +208,7 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, bands
     links = stored(confirmed(stars, sets, percent))
     at = components(links)
     cells = cells.join(at, "node", "left").select("key", "size", "node", "n", F.coalesce("label", "node").alias("label"))
-    split = cells.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most").select("key")
+    split = stored(cells.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most").select("key"))
     cells = stored(cells.join(split, "key", "left_semi"))
     few = cells.where(F.col("size") <= small).withColumns({"most": F.col("n"), "left": F.col("n")})
     rest = _apart(few.join(sets.select("node", *PARITY), "node"), percent)
