@@ -198,7 +198,7 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, bands
     met = cells.groupBy("key").agg(F.count("*").alias("size"), F.min("node").alias("first"), F.max("node").alias("last"))
     met = stored(met.where("size > 1"))  # a table of its own, like split below, so that Spark can split the members of a frequent key
     cells = stored(cells.join(met, "key").select("key", "size", "first", "last", "node", "n"))
-    known = cells.select("node").distinct()
+    known = stored(cells.select("node").distinct())
     wanted = sig.join(known, "node", "left_semi").select(F.col("doc_id").alias("wanted")).distinct()
     sets = shingle_sets(docs.join(wanted, docs["doc_id"].cast("long").eqNullSafe(wanted["wanted"]), "left_semi"), words=words)
     sets = stored(sets.join(known, "node", "left_semi").groupBy("node").agg(F.first("items").alias("items"), *(F.first(q).alias(q) for q in PARITY)))
