@@ -199,9 +199,9 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, bands
     met = stored(met.where("size > 1"))  # a table of its own, like split below, so that Spark can split the members of a frequent key
     cells = stored(cells.join(met, "key").select("key", "size", "first", "last", "node", "n"))
     known = stored(cells.select("node").distinct())
-    wanted = sig.join(known, "node", "left_semi").select(F.col("doc_id").alias("wanted")).distinct()
+    wanted = classes.join(known, "node", "left_semi").select(F.col("rep").alias("wanted")).distinct()
     sets = shingle_sets(docs.join(wanted, docs["doc_id"].cast("long").eqNullSafe(wanted["wanted"]), "left_semi"), words=words)
-    sets = stored(sets.join(known, "node", "left_semi").groupBy("node").agg(F.first("items").alias("items"), *(F.first(q).alias(q) for q in PARITY)))
+    sets = stored(sets.groupBy("node").agg(F.first("items").alias("items"), *(F.first(q).alias(q) for q in PARITY)).join(known, "node", "left_semi"))
 
     stars = cells.select("node", F.explode(F.array_distinct(F.array("first", "last"))).alias("centre")).where("node <> centre")
     stars = stars.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
