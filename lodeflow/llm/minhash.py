@@ -216,8 +216,9 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, bands
     rest = stored(rest.distinct().join(stars, ["a", "b"], "left_anti"))
     at = components(at.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(confirmed(rest, sets, percent)))
 
-    ids = classes.select("node", "rep").join(at, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    ids = ids.join(ids.groupBy("label").agg(F.min("rep").alias("component_id")), "label").select("node", F.col("label").alias("component"), "component_id")
+    ids = stored(classes.select("node", "rep").join(at, "node", "left").withColumn("label", F.coalesce("label", "node")))
+    least = stored(ids.groupBy("label").agg(F.min("rep").alias("least"), F.count("*").alias("nodes")).where("nodes > 1").drop("nodes"))
+    ids = ids.join(least, "label", "left").select("node", F.col("label").alias("component"), F.coalesce("least", "rep").alias("component_id"))
     out = sig.select("doc_id", "node", "n_shingles").join(ids, "node", "left")
     out = out.withColumn("component_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
     return out.select("doc_id", "node", "n_shingles", "component", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
