@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import itertools
+
 import duckdb
 
 from lodeflow.functions.shared import shared_dir
+from lodeflow.operators import similarity
 from lodeflow.plans import catalogue
 
 
@@ -25,3 +28,14 @@ def test_fixed_width_keys(spark):
     df = spark.createDataFrame(items, "l_orderkey long, l_suppkey long, l_partkey long").selectExpr("*", "1 AS l_linenumber", "3.0D AS l_quantity", "timestamp'1995-02-03' AS l_shipdate")
     got, want = both(spark, "fixed_width_parse", "lineitem", df)
     assert got == want and len(got) == 7
+
+
+def test_average_jaccard_moves_no_blocks(spark):
+    sets = spark.range(700).selectExpr("id", "transform(sequence(0, 9), j -> IF(j = 0, 0, id div 7 + 100 * (j % 4) + 1000 * (id % 2) * (j div 8))) AS items").selectExpr("id", "array_distinct(items) AS items")
+    found = similarity.average_jaccard(sets.unionByName(spark.createDataFrame([(1000, [-1]), (1001, [])], sets.schema)), block=16)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "a_items" not in plan  # whole sets were sent to each pair of blocks
+    own = {r.id: set(r["items"]) for r in sets.collect()} | {1000: {-1}, 1001: set()}
+    each = [len(own[a] & own[b]) / (len(own[a] | own[b]) or 1) for a, b in itertools.combinations(own, 2)]
+    average, pairs = found.first()
+    assert pairs == len(each) and abs(average - sum(each) / pairs) < 1e-12
