@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import random
 
 import duckdb
 
@@ -39,3 +40,16 @@ def test_average_jaccard_moves_no_blocks(spark):
     each = [len(own[a] & own[b]) / (len(own[a] | own[b]) or 1) for a, b in itertools.combinations(own, 2)]
     average, pairs = found.first()
     assert pairs == len(each) and abs(average - sum(each) / pairs) < 1e-12
+
+
+def test_lsh_pairs_compares_few_sets(spark, monkeypatch):
+    draw = random.Random(5)
+    own = {i: {f"w{w}" for w in draw.sample(range(150), 60)} for i in range(200)} | {1000 + i: {f"x{j}" for j in range(i, i + 30)} for i in range(0, 40, 5)}
+    sets = spark.createDataFrame([(i, sorted(s)) for i, s in own.items()], "id long, items array<string>")
+    want = {(a, b): len(own[a] & own[b]) / len(own[a] | own[b]) for a, b in itertools.combinations(own, 2)}
+    compared = []
+    verified = similarity._verified
+    monkeypatch.setattr(similarity, "_verified", lambda pairs, *rest: compared.append(pairs.count()) or verified(pairs, *rest))
+    found = {(r.a, r.b): r.jaccard for r in similarity.lsh_pairs(sets, n_hashes=180, n_bands=60).collect()}
+    assert found == {p: j for p, j in want.items() if j >= 0.5} != {}
+    assert compared[0] < 0.25 * len(want)  # most pairs at 0.25 share a band
