@@ -7,8 +7,9 @@ import random
 
 import duckdb
 
+from lodeflow.functions import tables
 from lodeflow.functions.shared import shared_dir
-from lodeflow.operators import similarity
+from lodeflow.operators import aggregates, similarity
 from lodeflow.plans import catalogue
 
 
@@ -53,3 +54,20 @@ def test_lsh_pairs_compares_few_sets(spark, monkeypatch):
     found = {(r.a, r.b): r.jaccard for r in similarity.lsh_pairs(sets, n_hashes=180, n_bands=60).collect()}
     assert found == {p: j for p, j in want.items() if j >= 0.5} != {}
     assert compared[0] < 0.25 * len(want)  # most pairs at 0.25 share a band
+
+
+def test_neighbours_move_pairs_once(spark):
+    draw = random.Random(3)
+    texts = ["\n".join(" ".join(draw.choice("abcdefg") * 2 for _ in range(draw.randint(0, 9))) for _ in range(4)) for _ in range(60)] + [None, ""]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    found = aggregates.neighbours(docs, "text", least=5)
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("HashAggregate") == 4  # two steps for the pairs, two for those found often
+    got, want = both(spark, "neighbors", "documents", docs)
+    assert got == want and len(got) > 20
+
+
+def test_spread_by_bytes(spark, monkeypatch):
+    docs = spark.range(100).selectExpr("id", "repeat('x', 1000) AS text").coalesce(1)
+    monkeypatch.setattr(tables, "TASK_BYTES", 10_000)
+    assert tables.spread(docs, "text").rdd.getNumPartitions() == 11 and tables.spread(docs).rdd.getNumPartitions() == 4
