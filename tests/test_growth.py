@@ -71,3 +71,19 @@ def test_spread_by_bytes(spark, monkeypatch):
     docs = spark.range(100).selectExpr("id", "repeat('x', 1000) AS text").coalesce(1)
     monkeypatch.setattr(tables, "TASK_BYTES", 10_000)
     assert tables.spread(docs, "text").rdd.getNumPartitions() == 11 and tables.spread(docs).rdd.getNumPartitions() == 4
+
+
+def test_similar_pairs_compare_few_sets(spark, monkeypatch):
+    draw = random.Random(7)
+    own = {i: set(draw.sample(range(60), draw.randint(1, 6))) for i in range(300)} | {400 + i: set(range(100 + i, 500 + 2 * i)) for i in range(6)}
+    sets = spark.createDataFrame([(i, sorted(s)) for i, s in own.items()], "id long, items array<long>")
+    firsts = {frozenset(s): i for i, s in reversed(own.items())}
+    reps = {i: own[i] for i in firsts.values()}
+    want = {(min(a, b), max(a, b)): len(own[a] & own[b]) / len(own[a] | own[b]) for a, b in itertools.combinations(reps, 2)}
+    compared = []
+    verified = similarity._verified
+    monkeypatch.setattr(similarity, "_verified", lambda pairs, *rest: compared.append(pairs.count()) or verified(pairs, *rest))
+    for least in (0.3, 0.5, 1.0):
+        found = {(r.a, r.b): r.jaccard for r in similarity.similar_pairs(sets, least=least).collect()}
+        assert found == {p: j for p, j in want.items() if j >= least}
+        assert compared.pop() <= 1.5 * len(found)
